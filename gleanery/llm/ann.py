@@ -2,10 +2,11 @@
 
 Each of m random projections of a block's vectors is a sorted array. A query
 opens a window around its own projection in every array; by virtual rehashing
-the windows widen step by step. A vector that falls into at least ``share`` of
-the m windows is a frequent one and its exact distance is computed. A query ends
-when its k-th distance is within the reach of the current windows and at least
-``spare`` of the block's vectors were verified, or when all were.
+the windows widen by ``growth`` step by step. A vector that falls into at least
+``share`` of the m windows is a frequent one. A query ends when ``spare`` of the
+block's vectors (256 at least) are frequent, or when all windows are as wide as
+the arrays; the exact distances of all frequent vectors are then compared. No
+bucket is cut off, so a crowd of equal vectors is verified as a whole.
 
 Rows are dealt to tasks as they are read, each task indexes its own blocks of at
 most ``block_rows`` rows, and the stated query set goes over all rows in blocks
@@ -36,49 +37,56 @@ class CollisionIndex:
     """Sorted projections of a block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int, share: float, spare: float, growth: float, seed: int):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.growth = ids, vectors, growth
+        n = len(ids)
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
         projected = vectors @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=0)
-        self.needed, self.spare, self.growth = max(1, int(np.ceil(share * m))), spare, growth
-        spread = np.median(np.std(projected, axis=0)) if len(ids) > 1 else 1.0
-        self.width = max(float(spread) * 0.25, 1e-12)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, m = self.sorted.shape
-        at = query @ self.lines
-        counts = np.zeros(n, np.int64)
-        low = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(m)])
-        high = low.copy()
-        seen = np.zeros(n, bool)
-        distance = np.full(n, np.inf)
-        enough, half = min(n, k + 1 + int(self.spare * n)), self.width / 2
-        while True:
-            fresh = []
-            for j in range(m):
-                a, b = np.searchsorted(self.sorted[: low[j], j], at[j] - half), high[j] + np.searchsorted(self.sorted[high[j] :, j], at[j] + half, side="right")
-                fresh += [self.order[a : low[j], j], self.order[high[j] : b, j]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            frequent = np.flatnonzero((counts >= self.needed) & ~seen)
-            if len(frequent):
-                seen[frequent] = True
-                distance[frequent] = np.sqrt(((self.vectors[frequent] - query) ** 2).sum(axis=1))
-            verified = int(seen.sum())
-            if verified >= enough or verified == n or bool((low == 0).all() and (high == n).all()):
-                break
-            half *= self.growth
-        rows = np.flatnonzero(seen & (self.ids != own))
-        # All that tie with the k-th go on; ids break ties once all blocks are known.
-        if len(rows) > k:
-            rows = rows[distance[rows] <= np.partition(distance[rows], k - 1)[k - 1]]
-            rows = rows[np.lexsort((self.ids[rows], distance[rows]))][:k]
-        return rows, distance[rows]
+        self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T.astype(np.int32))
+        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        self.needed = max(1, int(np.ceil(share * m)))
+        self.enough = min(n, max(256, int(spare * n)))
+        # The first windows: as wide as a few of the block's own rows need them.
+        own = projected[:: max(1, n // 16)][:16]
+        radii = [np.partition(np.partition(np.abs(projected - p), self.needed - 1, axis=1)[:, self.needed - 1], self.enough - 1)[self.enough - 1] for p in own]
+        self.half = max(0.9 * float(np.median(radii)), 1e-12)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the rows and distances of its k nearest found."""
+        m, n = self.sorted.shape
+        at = (queries @ self.lines).T
+        low = np.stack([np.searchsorted(self.sorted[j], at[j]) for j in range(m)], axis=1)
+        high, half = low.copy(), np.full(len(queries), self.half)
+        counts = np.zeros((len(queries), n), np.int16)
+        active, found = np.arange(len(queries)), [None] * len(queries)
+        while len(active):
+            left = np.stack([np.searchsorted(self.sorted[j], at[j, active] - half[active]) for j in range(m)], axis=1)
+            right = np.stack([np.searchsorted(self.sorted[j], at[j, active] + half[active], side="right") for j in range(m)], axis=1)
+            more = []
+            for i, q in enumerate(active.tolist()):
+                a, b = np.minimum(left[i], low[q]), np.maximum(right[i], high[q])
+                sides = [self.order[j, x:y] for j, (x, y) in enumerate(zip(a.tolist(), low[q].tolist())) if x < y]
+                sides += [self.order[j, x:y] for j, (x, y) in enumerate(zip(high[q].tolist(), b.tolist())) if x < y]
+                if sides:
+                    counts[q] += np.bincount(np.concatenate(sides), minlength=n).astype(np.int16)
+                low[q], high[q] = a, b
+                frequent = np.flatnonzero(counts[q] >= self.needed)
+                if len(frequent) < self.enough and (a.any() or (b < n).any()):
+                    half[q] *= self.growth
+                    more.append(q)
+                    continue
+                rows = frequent[self.ids[frequent] != own[q]]
+                distance = np.sqrt(((self.vectors[rows] - queries[q]) ** 2).sum(axis=1))
+                if len(rows) > k:  # ties go to the smaller id
+                    near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+                    near = near[np.lexsort((self.ids[rows[near]], distance[near]))][:k]
+                    rows, distance = rows[near], distance[near]
+                found[q] = (rows, distance)
+            active = np.array(more, np.int64)
+        return found
 
 
 def search(
-    vectors: DataFrame, *, column: str = "embedding", every: int = 100, k: int = 10, m: int = 48, share: float = 0.5, spare: float = 0.15, growth: float = 1.25, block_rows: int = 8192, query_rows: int = 4096, seed: int = 7
+    vectors: DataFrame, *, column: str = "embedding", every: int = 100, k: int = 10, m: int = 64, share: float = 0.6, spare: float = 0.3, growth: float = 1.1, block_rows: int = 8192, query_rows: int = 2048, seed: int = 7
 ) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k nearest other rows found.
 
@@ -101,9 +109,10 @@ def search(
             def block_of(ids: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
                 index = CollisionIndex(ids, dense, m, share, spare, growth, seed)
                 out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-                for own, query in sent.value:
-                    if len(query) == dense.shape[1]:
-                        at, distance = index.search(query, own, k)
+                fit = [(own, query) for own, query in sent.value if len(query) == dense.shape[1]]
+                for start in range(0, len(fit), 256):
+                    some = fit[start : start + 256]
+                    for (own, _), (at, distance) in zip(some, index.search(np.stack([q for _, q in some]), np.array([o for o, _ in some]), k)):
                         out.append((np.full(len(at), own), index.ids[at], distance))
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "score"])
 

@@ -133,12 +133,14 @@ def em(patterns: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict[tup
     return posterior, rates
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_000, buckets: int = 1 << 18, evidence: float = 20.0) -> dict:
+def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_000, buckets: int = 1 << 40, evidence: float = 20.0) -> dict:
     """Fit labeller accuracies and the hashed scorer.
 
     ``evidence``: the likelihood ratio (G-squared) from which a feature counts.
     Without annotations the scorer is trained on every document's posterior.
-    The model has at most ``buckets`` + 3 x labellers weights.
+    ``buckets``: the hashed space, so wide that a rare word doesn't meet one that
+    counts. The model holds the features that count: each needs about ``evidence``
+    / 3 bad documents of the bounded sample, so their number is bounded too.
     """
     texts = docs.select("doc_id", "text")
     if labels is None:
@@ -169,17 +171,24 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, size = _Features(buckets), buckets + 3 * len(LABELLERS)
-        bad, good = np.zeros(size + 1), np.zeros(size + 1)
+        sums: dict[int, list[float]] = {}
         for batch in batches:
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 tokens = words(data)
                 votes = vote(data or b"", tokens)
                 p = posterior.get((*votes, mark), 0.0)
-                at = np.fromiter([*features.of(tokens), *_vote_features(votes, buckets), size], np.int64)
-                bad[at] += p
-                good[at] += 1 - p
-        at = np.flatnonzero(bad + good)
-        yield pa.RecordBatch.from_pydict({"f": pa.array(at), "bad": pa.array(bad[at]), "good": pa.array(good[at])})
+                for x in (*features.of(tokens), *_vote_features(votes, buckets), size):
+                    pair = sums.setdefault(x, [0.0, 0.0])
+                    pair[0] += p
+                    pair[1] += 1 - p
+            if len(sums) > 1_000_000:
+                yield batch_of(sums)
+                sums = {}
+        yield batch_of(sums)
+
+    def batch_of(sums: dict[int, list[float]]) -> pa.RecordBatch:
+        pairs = np.array(list(sums.values()), np.float64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({"f": pa.array(list(sums), pa.int64()), "bad": pa.array(pairs[:, 0]), "good": pa.array(pairs[:, 1])})
 
     seen = known if labels is None else texts.join(F.broadcast(marks), "doc_id")
     sums = seen.select("text", "mark").mapInArrow(counts_of, "f long, bad double, good double").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
