@@ -7,12 +7,15 @@ each coordinate is the signature. About k ln k + 2k darts are thrown for k
 coordinates, whatever the document's length; where one stays empty, more are.
 
 Documents that share a band are candidates. Within a band's bucket nobody is
-paired with everybody: the bucket's smallest key is its hub, all others are
-compared with it exactly (Jaccard similarity of the shingle sets), those that
-reach the threshold leave, the rest choose a new hub, until nobody is left. By
-the triangle inequality of the Jaccard distance a link that this misses joins a
-document at most 2 (1 - threshold) from the hub to one that left with the hub;
-such pairs, if not yet of one class, are compared as well.
+paired with everybody: each member is compared with the bucket's hub only, and
+those that don't reach the threshold with a second one; what is linked becomes
+one component. Links between different components of the candidates are then
+found by an exact prefix filter: two sets of the similarity asked for share one
+of their rarest shingles, so each set is listed under these alone, and only sets
+of different components that meet there, and that sizes and places in the lists
+don't rule out, are compared. In a crowd of near copies the largest component of
+a shingle isn't paired with itself. All comparisons are exact (Jaccard similarity
+of the sets of shingles).
 
 Cases: documents are one class if their words are equal or linked by a chain of
 links; a document of fewer than five words has one shingle, all its words; one
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,52 +195,92 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) for distinct pairs with sizes; below ``least`` the sizes may decide."""
-    sized = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least - 1e-9))
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, linked) for distinct pairs with their sizes na and nb."""
+    sized = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9))
     joined = sized.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("sim"))
+    return joined.select("a", "b", (both >= F.lit(similarity - 1e-12) * (F.col("na") + F.col("nb") - both)).alias("linked"))
 
 
-def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def prefixes(sets: DataFrame, similarity: float, cells: int = 1 << 20) -> DataFrame:
+    """(token, key, n, place): each set's rarest shingles, as many as the filter needs.
+
+    Any order that is the same for all sets keeps the filter exact; the counts
+    of ``cells`` hashed cells, which is all that is sent to the tasks, make it
+    nearly the order by frequency.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(cells, np.int64)
+        for batch in batches:
+            at, times = np.unique(batch.column(0).flatten().to_numpy() & (cells - 1), return_counts=True)
+            sums[at] += times
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
+
+    found = sets.select("set").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(cells, np.int32)
+    often[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    sent = sets.sparkSession.sparkContext.broadcast(often)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, tokens, places = [], [], [], []
+            for key, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                mine = row.values.to_numpy()
+                most = len(mine) - math.ceil(similarity * len(mine) - 1e-9) + 1
+                first = mine[np.lexsort((mine, sent.value[mine & (cells - 1)]))[:most]]
+                keys += [key] * len(first)
+                sizes.append(np.full(len(first), len(mine)))
+                tokens.append(first)
+                places.append(np.arange(len(first)))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(keys, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["token", "key", "n", "place"])
+
+    return sets.select("key", "set").mapInArrow(rarest, "token long, key binary, n long, place long")
+
+
+def apart(listed: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, na, b, nb) of different roots that the filter lets pass.
+
+    ``listed``: token, key, n, place, root. The members of a token's largest root
+    are never on the left side, so they don't meet each other.
+    """
+    several = listed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("token")
+    listed = stored(listed.join(several, "token"), "listed")
+    crowd = listed.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("x")).select("token", F.col("x.root").alias("crowd"))
+    left = listed.join(crowd, "token").where("root != crowd").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), "crowd")
+    right = listed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    once = (F.col("rb") == F.col("crowd")) | (F.col("a") < F.col("b"))
+    met = left.join(right, (left["token"] == right["token"]) & (F.col("ra") != F.col("rb")) & once & sized & reach)
+    return met.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+
+
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", hubs: int = 2) -> DataFrame:
     """A row for each document row: uid, th, doc_id, class_id, class_size."""
     rowsof = stored(signed(docs, bands=bands, rows=rows, weights=weights), "signed")
     nodes = rowsof.where("key is not null").groupBy("key").agg(F.min(F.struct("uid", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = nodes.select("key", "n", F.col("at.uid").alias("uid"), F.col("at.th").alias("th"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     left = stored(member.join(shared, "band"), "buckets")
-    everyone = left
     sets = stored(shingle_sets(docs, left.select("uid", "th", "key").distinct()), "sets")
-    edges, border = None, None
-    reach = 1 - 2 * (1 - similarity)
-    while left.limit(1).count():
-        hubs = left.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub")).select("band", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"))
-        dealt = left.join(hubs, "band").where("key != a").select("band", "a", "na", F.col("key").alias("b"), F.col("n").alias("nb"), "uid", "th")
-        sims = stored(_compared(dealt.select("a", "na", "b", "nb").distinct(), sets, reach), "sims")
-        linked = sims.where(F.col("sim") >= similarity - 1e-12).select("a", "b")
-        edges = linked if edges is None else edges.unionByName(linked)
-        marked = dealt.join(sims, ["a", "b"], "left")
-        near = marked.where((F.col("sim") >= reach - 1e-12) & (F.col("sim") < similarity - 1e-12)).select("band", "a", "b", "nb")
-        border = near if border is None else border.unionByName(near)
-        rest = marked.where(F.coalesce("sim", F.lit(0.0)) < similarity - 1e-12).select("band", F.col("b").alias("key"), F.col("nb").alias("n"), "uid", "th")
-        several = rest.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-        left = stored(rest.join(several, "band"), "buckets")
-    if edges is None:
-        roots = None
-    else:
-        roots = components(edges)
-        # Members that left with the hub against those that the hub found near.
-        hub_of = everyone.join(border.select("band", "a").distinct(), "band").select("band", "a", F.col("key").alias("c"), F.col("n").alias("nc"))
-        hub_of = hub_of.join(edges.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi")
-        mine, other = roots.select(F.col("key").alias("b"), F.col("root").alias("rb")), roots.select(F.col("key").alias("c"), F.col("root").alias("rc"))
-        pairs = border.join(mine, "b", "left").join(hub_of.join(other, "c", "left"), ["band", "a"]).where(~F.col("rb").eqNullSafe(F.col("rc")))
-        pairs = stored(pairs.select(F.least("b", "c").alias("a"), F.when(F.col("b") < F.col("c"), F.col("nb")).otherwise(F.col("nc")).alias("na"), F.greatest("b", "c").alias("b"), F.when(F.col("b") < F.col("c"), F.col("nc")).otherwise(F.col("nb")).alias("nb")).distinct(), "border")
-        more = stored(_compared(pairs, sets, similarity).where(F.col("sim") >= similarity - 1e-12).select("a", "b"), "more")
-        if more.limit(1).count():
-            roots = components(edges.unionByName(more))
-    known = rowsof.select("uid", "th", "doc_id", "key")
-    known = known.withColumn("root", F.col("key")) if roots is None else known.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    left, found = left.select("band", "key", "n"), []
+    for i in range(hubs):
+        order = F.struct(F.xxhash64(F.lit(i), "key").alias("h"), "key", "n")
+        hub = left.groupBy("band").agg(F.min(order).alias("hub")).select("band", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"))
+        dealt = left.join(hub, "band").where("key != a").select("band", "a", "na", F.col("key").alias("b"), F.col("n").alias("nb"))
+        linked = stored(_compared(dealt.select("a", "na", "b", "nb").distinct(), sets, similarity).where("linked").select("a", "b"), "linked")
+        found.append(linked)
+        left = stored(dealt.join(linked, ["a", "b"], "left_anti").select("band", F.col("b").alias("key"), F.col("nb").alias("n")), "buckets")
+    edges = reduce(DataFrame.unionByName, found)
+    roots = components(edges)
+    listed = prefixes(sets, similarity).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    more = stored(_compared(apart(listed, similarity), sets, similarity).where("linked").select("a", "b"), "linked")
+    roots = components(edges.unionByName(more))
+    known = rowsof.select("uid", "th", "doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     own = known.where("root is null").select("uid", "th", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     known = known.where("root is not null")
     sizes = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
