@@ -12,7 +12,8 @@ anchor; equal windows have equal anchors. Between documents only anchors are
 sorted into buckets, and buckets are refined in four steps, each dropping what is
 alone: by 128 bytes; by all 672 bytes around the anchor (if these repeat, all are
 covered at once, and one anchor stands for the others); by the eight strings of
-366 bytes of which one lies inside any repeated window; by the 400 bytes.
+366 bytes of which one lies inside any repeated window; by the 400 bytes, first
+at both ends of what such a string leaves open, then between them.
 
 All steps are counts by identifier, summed before the shuffle, so no group of
 copies meets in one task. Equal texts share a key and are read once. Identifiers
@@ -125,7 +126,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, data) of documents with repeats, and (key, spans) of what repeats."""
+    """(key, doc, data) of documents with repeats, and (doc, spans) of what repeats."""
     texts = keyed(docs).where(F.col("n_bytes") >= LENGTH).select("key", "data")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,31 +150,35 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ones = marked.where(F.col("one") == _place("key", "at")).select("key", "at", "gram").join(edges.select("gram").distinct(), "gram", "left_semi").select("key", "at", "gram")
     wanted = edges.unionByName(ones).select("key", "at").unionByName(covered.select("key", F.lit(None).cast("long").alias("at")).distinct())
     places = wanted.groupBy("key").agg(F.collect_set("at").alias("at"))
-    subset = stored(texts.join(places, "key").dropDuplicates(["key"]), "subset")
-
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, data, at in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = np.unique((np.array(at, np.int64)[:, None] - PIECE * np.arange(STEPS)).ravel())
-                starts = starts[(starts >= 0) & (starts + CORE <= len(data))]
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(starts), pa.binary()), pa.array(starts), pa.array(strings(data, starts, CORE).view(np.int64))], names=["key", "at", "id"])
-
-    core = stored(subset.select("key", "data", "at").mapInArrow(cores, "key binary, at long, id long"), "cores")
-    starts = core.join(_several(core, _place("key", "at"), "id").select("id"), "id", "left_semi").groupBy("key").agg(F.collect_set("at").alias("at"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, data, at in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = np.unique((np.array(at, np.int64)[:, None] - np.arange(PIECE + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts + LENGTH <= len(data))]
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(starts), pa.binary()), pa.array(starts), pa.array(strings(data, starts, LENGTH).view(np.int64))], names=["key", "at", "id"])
-
-    window = stored(subset.select("key", "data").join(starts, "key").select("key", "data", "at").mapInArrow(windows, "key binary, at long, id long"), "windows")
-    found = window.join(_several(window, _place("key", "at"), "id").select("id"), "id", "left_semi")
-    spans = covered.unionByName(found.select("key", F.struct(F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")).alias("span")))
-    return subset.select("key", "data"), spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    subset = stored(texts.join(places, "key").dropDuplicates(["key"]).withColumn("doc", F.xxhash64("key")), "subset")
+
+    def emit(starts_of, length: int):
+        """Rows (doc, at, id) for the starts that ``starts_of`` makes of the other columns."""
+
+        def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc, data, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                    starts = np.unique(starts_of(*(np.array(x or (), np.int64) for x in rest)))
+                    starts = starts[(starts >= 0) & (starts + length <= len(data))]
+                    if len(starts):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc)), pa.array(starts), pa.array(strings(data, starts, length).view(np.int64))], names=["doc", "at", "id"])
+
+        return emitted
+
+    form, place, texts_of = "doc long, at long, id long", _place("doc", "at"), subset.select("doc", "data")
+    cores = stored(subset.select("doc", "data", "at").mapInArrow(emit(lambda at: (at[:, None] - PIECE * np.arange(STEPS)).ravel(), CORE), form), "cores")
+    cells = stored(cores.join(_several(cores, place, "id").select("id"), "id", "left_semi").select(*cores.columns), "cells")
+    # The windows at both ends of a cell; where they repeat, those between cover nothing more.
+    starts = cells.groupBy("doc").agg(F.collect_set("at").alias("s"))
+    ends = stored(texts_of.join(starts, "doc").mapInArrow(emit(lambda s: np.concatenate((s, s - PIECE)), LENGTH), form), "ends")
+    known = stored(ends.join(_several(ends, place, "id").select("id"), "id", "left_semi").select("doc", "at"), "known")
+    both = cells.join(known.withColumn("right", F.lit(True)), ["doc", "at"], "left").join(known.select("doc", (F.col("at") + PIECE).alias("at"), F.lit(True).alias("left")), ["doc", "at"], "left")
+    unclear = both.where("right is null or left is null").select("id").distinct()
+    inner = cells.join(unclear, "id", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("s"))
+    windows = stored(texts_of.join(inner, "doc").mapInArrow(emit(lambda s: (s[:, None] - np.arange(1, PIECE)).ravel(), LENGTH), form), "windows")
+    found = known.unionByName(windows.join(_several(windows, place, "id").select("id"), "id", "left_semi").select("doc", "at"))
+    spans = covered.select(F.xxhash64("key").alias("doc"), "span").unionByName(found.select("doc", F.struct(F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")).alias("span")))
+    return subset.select("key", "doc", "data"), spans.groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -193,7 +198,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 out.append((key, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.string()))], names=["key", "removed", "runs", "kept"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.binary()), ("removed", pa.int64()), ("runs", pa.int64()), ("kept", pa.string())]))
 
-    cuts = subset.join(spans, "key").select("key", "data", "spans").mapInArrow(cut, "key binary, removed long, runs long, kept string")
+    cuts = subset.join(spans, "doc").select("key", "data", "spans").mapInArrow(cut, "key binary, removed long, runs long, kept string")
     rows = keyed(docs).select("doc_id", "key", "digest", "n_bytes")
     copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     told = copies.select("key").withColumn("copied", F.lit(True)).join(cuts, "key", "full_outer")
