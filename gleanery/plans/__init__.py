@@ -1,9 +1,12 @@
 """Queries over the provided tables, each with its SQL twin."""
 
+from . import governance, retrieval, scalars, shapes  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
