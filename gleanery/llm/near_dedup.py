@@ -12,8 +12,8 @@ those that don't reach the threshold with a second one; what is linked becomes
 one component. Links between different components of the candidates are then
 found by an exact prefix filter: two sets of the similarity asked for share one
 of their rarest shingles, so each set is listed under these alone, and only sets
-of different components that meet there, and that sizes, places in the lists and
-the number of shingles met don't rule out, are compared. In a crowd of near copies the largest component of
+of different components that meet there, and that sizes and places in the lists
+don't rule out, are compared. In a crowd of near copies the largest component of
 a shingle isn't paired with itself. All comparisons are exact (Jaccard similarity
 of the sets of shingles).
 
@@ -253,15 +253,12 @@ def apart(listed: DataFrame, similarity: float) -> DataFrame:
     left = listed.join(crowd, "token").where("root != crowd").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), "crowd")
     right = listed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)
-    # What two sets have in common is at most what they had before these places and what can follow.
-    least = (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least
+    # The rarest shingle in common is met with nothing before it; what follows it in either list is all there can be.
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
     once = (F.col("rb") == F.col("crowd")) | (F.col("a") < F.col("b"))
     met = left.join(right, (left["token"] == right["token"]) & (F.col("ra") != F.col("rb")) & once & sized & reach)
-    turned = met.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "x"), ("na", "nb", "nx"), ("pa", "pb", "px"), ("b", "a", "y"), ("nb", "na", "ny"), ("pb", "pa", "py"), ("ra", "rb", "rx"), ("rb", "ra", "ry"))])
-    # The tokens met are all that is in common up to the last one; behind it, at most what is left.
-    sums = turned.groupBy(F.col("x").alias("a"), F.col("nx").alias("na"), F.col("y").alias("b"), F.col("ny").alias("nb")).agg(F.count("*").alias("c"), F.max("px").alias("pa"), F.max("py").alias("pb"), F.first("rx").alias("ra"), F.first("ry").alias("rb"))
-    return sums.where(F.col("c") - 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least).select("a", "na", "b", "nb", "ra", "rb")
+    turned = (("a", "b", "a"), ("na", "nb", "na"), ("b", "a", "b"), ("nb", "na", "nb"), ("ra", "rb", "ra"), ("rb", "ra", "rb"))
+    return met.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in turned]).distinct()
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", hubs: int = 2) -> DataFrame:
