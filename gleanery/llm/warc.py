@@ -67,11 +67,15 @@ def record(row: DataFrame) -> Column:
 
 
 def write(pages: DataFrame, path: str, *, least_bytes: int = 100, file_bytes: int = FILE_BYTES) -> None:
-    """Write gzip-compressed archives of about ``file_bytes`` uncompressed bytes."""
-    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 600)).first()[0] or 0
-    files = max(1, -(-int(total) // file_bytes))
-    rows = resolved(pages, least_bytes).repartition(files, F.xxhash64("page_id", "url", "digest"))
-    rows.select(record(rows).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").text(path)
+    """Write gzip-compressed archives of about ``file_bytes`` uncompressed bytes.
+
+    Payloads move once, to meet their digest's response; where few payloads
+    repeat, and Spark broadcasts those digests, not at all.
+    """
+    sizes = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 600).alias("b"), F.count("*").alias("n")).first()
+    records = max(1, file_bytes * sizes["n"] // max(1, sizes["b"] or 0))
+    rows = resolved(pages, least_bytes)
+    rows.select(record(rows).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
