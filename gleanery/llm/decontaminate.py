@@ -9,12 +9,12 @@ what is broadcast has that bound whatever the benchmark's size.
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8, words
@@ -226,15 +226,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.0
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:
     """``text`` without the words (and what stands between them) of each run."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
     out, start = [], 0
     for a, b in runs:
         out.append(text[start : at[a][0]])
         start = at[b - 1][1]
     return "".join([*out, text[start:]])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -45,7 +45,6 @@ def raked(cells: DataFrame, *, exponents: dict = EXPONENTS, rounds: int = ROUNDS
     The lineage is cut each ``every`` rounds.
     """
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     one = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 0.0
     for d in DIMENSIONS:
         share = F.sum("tokens").over(Window.partitionBy(d)) / F.lit(one)
