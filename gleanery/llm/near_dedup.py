@@ -12,10 +12,12 @@ those that don't reach the threshold with a second one; what is linked becomes
 one component. Links between different components of the candidates are then
 found by an exact prefix filter: two sets of the similarity asked for share one
 of their rarest shingles, so each set is listed under these alone, and only sets
-of different components that meet there, and that sizes and places in the lists
-don't rule out, are compared. In a crowd of near copies the largest component of
-a shingle isn't paired with itself. All comparisons are exact (Jaccard similarity
-of the sets of shingles).
+of different components that meet there, and that sizes, places in the lists and
+parities don't rule out, are compared. The parities are bits that each shingle of
+a set turns over, one by its hash: two sets differ in as many shingles as bits at
+least, so too many bits rule a link out for certain. In a crowd of near copies the
+largest component of a shingle isn't paired with itself. All comparisons are exact
+(Jaccard similarity of the sets of shingles).
 
 Cases: documents are one class if their words are equal or linked by a chain of
 links; a document of fewer than five words has one shingle, all its words; one
@@ -32,12 +34,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, utf8, words
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
+PARITIES = 16  # longs, 1024 bits
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -154,8 +157,14 @@ def signed(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, weights: st
     return given.mapInArrow(sign, "uid long, th long, doc_id long, key binary, n long, bands array<long>")
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of the elements fall on it."""
+    hits = np.bincount((mix(elements.view(np.uint64) + _ODD[4]) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((hits & 1).astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and set of the documents whose (uid, th) are ``wanted``."""
+    """key, set and parities of the documents whose (uid, th) are ``wanted``."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("uid"), F.xxhash64("text").alias("th"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,10 +173,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 found = [np.unique(shingles(words(data), hashes)).view(np.int64) for data in utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "set"])
+                odd = [parities(x) for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["key", "set", "odd"])
 
     rows = texts.join(wanted, ["uid", "th"]).select("key", "text")
-    return rows.mapInArrow(sets, "key binary, set array<long>").dropDuplicates(["key"])
+    return rows.mapInArrow(sets, "key binary, set array<long>, odd array<long>").dropDuplicates(["key"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,22 +251,24 @@ def prefixes(sets: DataFrame, similarity: float, cells: int = 1 << 20) -> DataFr
     return sets.select("key", "set").mapInArrow(rarest, "token long, key binary, n long, place long")
 
 
-def apart(listed: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs of different roots that the filter lets pass: a, na, b, nb, ra, rb.
+def apart(listed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs of different roots that the filters let pass: a, na, b, nb, ra, rb.
 
-    ``listed``: token, key, n, place, root. The members of a token's largest root
+    ``listed``: token, key, n, place, root; ``odd``: key and parities. The members of a token's largest root
     are never on the left side, so they don't meet each other.
     """
     several = listed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("token")
-    listed = stored(listed.join(several, "token"), "listed")
+    listed = stored(listed.join(several, "token").join(odd, "key"), "listed")
     crowd = listed.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("x")).select("token", F.col("x.root").alias("crowd"))
-    left = listed.join(crowd, "token").where("root != crowd").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), "crowd")
-    right = listed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
+    left = listed.join(crowd, "token").where("root != crowd").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("odd").alias("oa"), "crowd")
+    right = listed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("odd").alias("ob"))
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)
     # The rarest shingle in common is met with nothing before it; what follows it in either list is all there can be.
     reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= (F.col("na") + F.col("nb")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    bits = reduce(Column.__add__, [F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(PARITIES)])
+    near = bits <= (F.col("na") + F.col("nb")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
     once = (F.col("rb") == F.col("crowd")) | (F.col("a") < F.col("b"))
-    met = left.join(right, (left["token"] == right["token"]) & (F.col("ra") != F.col("rb")) & once & sized & reach)
+    met = left.join(right, (left["token"] == right["token"]) & (F.col("ra") != F.col("rb")) & once & sized & reach & near)
     turned = (("a", "b", "a"), ("na", "nb", "na"), ("b", "a", "b"), ("nb", "na", "nb"), ("ra", "rb", "ra"), ("rb", "ra", "rb"))
     return met.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in turned]).distinct()
 
@@ -280,7 +292,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
     edges = reduce(DataFrame.unionByName, found)
     roots = components(edges)
     listed = prefixes(sets, similarity).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    pairs = stored(apart(listed, similarity), "pairs")
+    pairs = stored(apart(listed, sets.select("key", "odd"), similarity), "pairs")
     more = stored(_compared(pairs, sets, similarity).where("linked").join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "linked")
     joined = components(more).select(F.col("key").alias("root"), F.col("root").alias("lower"))
     roots = roots.join(joined, "root", "left").select("key", F.coalesce("lower", "root").alias("root")).unionByName(joined.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("key"), F.col("lower").alias("root")))

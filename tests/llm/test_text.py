@@ -301,3 +301,15 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([0, i]), bytes([0, i + 1])) for i in range(40)] + [(b"\x01\x02", b"\x01\x01")], "a binary, b binary")
     got = near_dedup.components(edges).collect()
     assert {bytes(r["root"]) for r in got if r["key"][0] == 0} == {b"\0\0"} and len(got) == 43
+
+
+def test_parities_never_rule_out_more_than_the_sets_differ():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 0), (60, 3), (400, 90), (5000, 800)):
+        x = rng.integers(-(2**63), 2**63, n + k)
+        a, b = x[:n], x[k:]
+        bits = sum(int(v).bit_count() for v in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and (k == 0) == (bits == 0)
+    assert not near_dedup.parities(x[:0]).any()
