@@ -47,6 +47,18 @@ def test_names_are_split_and_bad_hosts_blocked(spark):
     assert got["m.cheap-pills.org"]["verdict"] == "block"
 
 
+def test_rare_words_and_tokens_count_whatever_the_size_of_the_model(spark):
+    rows = [(i, f"http://m.{h}.org/en/{i}/{p}?{i}", f"<title>{t}</title>") for i, (h, p, t) in enumerate([("freecasinobets", "casino", "casino bets"), ("schoollibrary", "Kelvin\u212a", "school library news"), ("newsblog", "", "blog")] * 5)]
+    rows += [(90, "http://zebraquokka.org/", "<title>zebra quokka</title>"), (91, "http://m.newsblog.org/en/2/?2", ""), (92, None, ""), (92, "http://x.net/es/" + "zebra" * 400, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [sorted(map(tuple, url_filter.judged(pages, **options).collect()), key=str) for options in ({}, {"vocabulary": 3}, {"vocabulary": 0})]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    assert [r[6] for r in found[0] if r[0] == 90] == ["h:zebra h:quokka h:org"]
+    model = url_filter.fit(pages, vocabulary=3)
+    assert url_filter.fit(pages)["totals"] == model["totals"] and model["totals"][2] == model["sums"].count()
+    assert sorted(map(tuple, url_filter.judged(pages, model).collect()), key=str) == found[0]
+
+
 # 7: neighbours
 
 
