@@ -84,6 +84,16 @@ def test_method_adds_secrets_and_redaction_marks_them(spark):
     assert by[120]["n_chars"] == len(by[120]["text"])
 
 
+def test_long_secrets_are_one_span(spark):
+    rng = random.Random(2)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (36, 200, 201, 450, 5000)]
+    keys += [k[:150] + "x4111111111111111x" + k[150:] for k in keys if len(k) > 200]
+    texts = [f"{prose(rng, 20)} token = \"{k}\" {prose(rng, 5)}" for k in keys]
+    every = {"weights": [0.0] * pii.BUCKETS, "bias": 1.0}
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs_of(spark, list(enumerate(texts))), every).collect()}
+    assert [out[i] for i in range(len(keys))] == [t.replace(k, "<SECRET>") for t, k in zip(texts, keys)]
+
+
 def test_private_empty_table(spark):
     assert pii.redacted(docs_of(spark, [])).count() == 0
 
