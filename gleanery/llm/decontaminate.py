@@ -205,15 +205,19 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.05, **o
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / coverage) >= F.col("n_words")))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.05, **options) -> DataFrame:
-    """Documents without contaminated ones, and their columns as they were.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.05, span_words: int = 13, **options) -> DataFrame:
+    """Documents without contaminated ones, hit spans of at least ``span_words`` words cut from the others.
 
-    With a coverage of 0 every hit span is cut from the texts instead.
+    With a coverage of 0 every hit span is cut from the texts and no document goes.
+    Other texts and columns stay; ``n_chars``, where it is a column, is counted anew
+    for changed texts.
     """
     packed = docs.select("text", F.struct("*").alias("row"))
     if coverage > 0:
-        return judged(packed, benchmark, coverage=coverage, **options).where(~F.col("contaminated")).select("row.*")
-    found = match(packed, benchmark, **options).select("row", "text", "hits")
+        found = judged(packed, benchmark, coverage=coverage, **options).where(~F.col("contaminated"))
+        found = found.select("row", "text", F.filter("hits", lambda x: x["b"] - x["a"] >= span_words).alias("hits"))
+    else:
+        found = match(packed, benchmark, **options).select("row", "text", "hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +225,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     left = found.mapInArrow(cut, found.select("row", "text").schema)
-    return left.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.char_length("text").cast("long")).otherwise(columns["n_chars"])
+    return left.select(*[x.alias(c) for c, x in columns.items()])
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> str:

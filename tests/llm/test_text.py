@@ -147,6 +147,15 @@ def test_spans_are_cut(spark):
     assert decontaminate.remove_spans(docs.limit(0), bench).count() == 0
 
 
+def test_long_spans_are_cut_from_documents_that_stay(spark):
+    passage = " ".join(f"q{i}" for i in range(40))
+    bench = spark.createDataFrame([(1, passage), (2, "Short Item")], "item_id long, text string")
+    long, short = ["w " * 500 + end for end in (f"<{passage.upper()}>", "a short item.")]
+    rows = {r["doc_id"]: r for r in decontaminate.remove_spans(docs_of(spark, [(1, long + " w" * 500), (2, short), (3, None)]), bench).collect()}
+    assert rows[1]["text"] == "w " * 500 + "<>" + " w" * 500 and rows[1]["n_chars"] == len(rows[1]["text"])
+    assert rows[2]["text"] == short and rows[3]["text"] is None
+
+
 # 4: quality
 
 
