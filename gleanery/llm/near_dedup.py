@@ -275,6 +275,15 @@ def apart(listed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", hubs: int = 2) -> DataFrame:
     """A row for each document row: uid, th, doc_id, class_id, class_size."""
+    known = _rooted(docs, similarity=similarity, bands=bands, rows=rows, weights=weights, hubs=hubs)
+    own = known.where("root is null").select("uid", "th", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    known = known.where("root is not null")
+    sizes = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return known.join(sizes, "root").select("uid", "th", "doc_id", "class_id", "class_size").unionByName(own)
+
+
+def _rooted(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", hubs: int = 2) -> DataFrame:
+    """uid, th, doc_id and root of each document row; rows without words have no root."""
     rowsof = stored(signed(docs, bands=bands, rows=rows, weights=weights), "signed")
     nodes = rowsof.where("key is not null").groupBy("key").agg(F.min(F.struct("uid", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = nodes.select("key", "n", F.col("at.uid").alias("uid"), F.col("at.th").alias("th"), F.explode("bands").alias("band"))
@@ -296,21 +305,18 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
     more = stored(_compared(pairs, sets, similarity).where("linked").join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "linked")
     joined = components(more).select(F.col("key").alias("root"), F.col("root").alias("lower"))
     roots = roots.join(joined, "root", "left").select("key", F.coalesce("lower", "root").alias("root")).unionByName(joined.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("key"), F.col("lower").alias("root")))
-    known = rowsof.select("uid", "th", "doc_id", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    own = known.where("root is null").select("uid", "th", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    known = known.where("root is not null")
-    sizes = known.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return known.join(sizes, "root").select("uid", "th", "doc_id", "class_id", "class_size").unionByName(own)
+    return rowsof.select("uid", "th", "doc_id", "key").join(roots, "key", "left").select("uid", "th", "doc_id", F.coalesce("root", "key").alias("root"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with its smallest doc_id.
+    """One document of each class, the one with its smallest doc_id (of equal ids, the smallest text hash).
 
-    Rows without an id stay only where their class has none with an id, one for
-    each class of equal texts.
+    Rows without an id stay only where their class has none with an id. Rows
+    without words are classes of their own.
     """
-    found = classes(docs, **options)
-    keep = found.where("doc_id <=> class_id").select("uid", "th").groupBy("uid").agg(F.min("th").alias("th"))
+    found = _rooted(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "uid")).alias("x")
+    keep = found.where("root is not null").groupBy("root").agg(first).select("x.uid", "x.th").unionByName(found.where("root is null").select("uid", "th")).distinct()
     marked = docs.withColumn("__uid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("__th", F.xxhash64("text"))
     kept = marked.join(keep.select(F.col("uid").alias("__uid"), F.col("th").alias("__th")), ["__uid", "__th"], "left_semi")
     return kept.dropDuplicates(["__uid", "__th"]).select(*docs.columns)

@@ -303,6 +303,14 @@ def test_classes_equal_brute_force(spark):
     assert near_dedup.deduplicated(docs_of(spark, [])).count() == 0
 
 
+def test_one_document_of_each_class_stays_whatever_the_ids(spark):
+    rng = random.Random(4)
+    a, b, c = [prose(rng, 80) for _ in range(3)]
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (None, c), (None, c + " end"), (None, a + " more")]
+    kept = near_dedup.deduplicated(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:40]) for r in kept) == sorted([(1, a[:40]), (1, b[:40]), (0, c[:40])])
+
+
 def test_signature_estimates_weighted_jaccard():
     import numpy as np
 
