@@ -17,15 +17,18 @@ def resolve(incoming: DataFrame, identifiers: DataFrame, stable: DataFrame) -> D
     Rows without code or title are conflicts. A code is looked up among the
     identifiers (code, id), then its key among stable keys (key, id); else the
     first row of a key creates it and later ones find it. The last title of a key wins.
+    No key is sorted in one task: first and last of each are aggregated and joined
+    back (``ord`` is unique), and conflicts, which share an empty key, aren't joined.
     """
     bad = F.col("code").isNull() | F.col("title").isNull()
-    rows = incoming.join(identifiers.select("code", F.col("id").alias("by_code")), "code", "left").join(stable.select("key", F.col("id").alias("by_key")), "key", "left")
-    w = Window.partitionBy(bad, "key")
-    rank = F.row_number().over(w.orderBy("ord"))
-    last = F.max_by("title", "ord").over(w)
+    good, conflicts = incoming.where(~bad), incoming.where(bad)
+    ends = good.groupBy("key").agg(F.min("ord").alias("first"), F.max_by("title", "ord").alias("last"))
+    rows = good.join(ends, "key").join(identifiers.select("code", F.col("id").alias("by_code")), "code", "left").join(stable.select("key", F.col("id").alias("by_key")), "key", "left")
     known = F.coalesce("by_code", "by_key")
-    outcome = F.when(bad, "conflict").when(F.col("by_code").isNotNull(), "existing_by_identifier").when(F.col("by_key").isNotNull() | (rank > 1), "existing_by_stable_key").otherwise("created")
-    return rows.select("ord", "code", "key", F.when(~bad, last).alias("title"), F.when(~bad, F.coalesce(known.cast("string"), F.md5("key"))).alias("entity_id"), outcome.alias("outcome"))
+    outcome = F.when(F.col("by_code").isNotNull(), "existing_by_identifier").when(F.col("by_key").isNotNull() | (F.col("ord") > F.col("first")), "existing_by_stable_key").otherwise("created")
+    resolved = rows.select("ord", "code", "key", F.col("last").alias("title"), F.coalesce(known.cast("string"), F.md5("key")).alias("entity_id"), outcome.alias("outcome"))
+    none = F.lit(None).cast("string")
+    return resolved.unionByName(conflicts.select("ord", "code", "key", none.alias("title"), none.alias("entity_id"), F.lit("conflict").alias("outcome")))
 
 
 def unique_match(labels: DataFrame, aliases: DataFrame) -> DataFrame:

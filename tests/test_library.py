@@ -112,3 +112,16 @@ def test_streams(spark, tmp_path):
     q = jobs.rolling_counts(jobs.incremental(spark, str(tmp_path / "in"), events.schema, 1), "40 days").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_identities_are_resolved_without_a_window(spark):
+    from gleanery.operators import reconcile
+
+    rows = [(1, None, "a"), (2, "C1", None), (3, "C1", "a"), (4, "C1", "b"), (5, "C2", "c"), (6, "C3", "d"), (7, "C3", "e"), (8, None, "f")]
+    incoming = spark.createDataFrame([(i, c, (c or "").lower(), t) for i, c, t in rows], "ord long, code string, key string, title string")
+    out = reconcile.resolve(incoming, spark.createDataFrame([("C1", 1)], "code string, id long"), spark.createDataFrame([("c2", 2)], "key string, id long"))
+    got = {r["ord"]: (r["title"], r["outcome"]) for r in out.collect()}
+    assert [got[i] for i in (1, 2, 8)] == [(None, "conflict")] * 3
+    assert got[3] == got[4] == ("b", "existing_by_identifier") and got[5] == ("c", "existing_by_stable_key")
+    assert got[6] == ("e", "created") and got[7] == ("e", "existing_by_stable_key")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
