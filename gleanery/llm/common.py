@@ -26,11 +26,14 @@ def words(data: bytes | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset, as in tests on one machine, a temporary folder is set
-    once for the session and used from then on.
+    Where that is unset and Spark runs on one machine, as in tests, a temporary
+    folder is set once for the session and used from then on. On a cluster it must
+    be set: executors don't see the driver's own folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -50,3 +53,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes, nulls as None."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, or with underscores before it one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -1,18 +1,29 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote on every document (bad, good or no vote).
-Expectation-maximisation over the counts of vote patterns estimates how often
-each labeller is right in either class; the posterior of a pattern is the label
-of its documents. Those labels train a linear scorer over hashed word features.
-
-Everything but the fit covers every document. The fit uses the documents of a
-bounded sample of annotated rows (``max_annotated``), taken by the smallest hash
-of their ids, so the sample's ids fit a broadcast whatever the table's size.
+Overlapping heuristic labellers vote on every document (bad, good or no vote):
+six on its form, and a lexicon of words that speak against a document, which is
+learned from a bounded sample of annotated rows. Expectation-maximisation over the
+counts of vote patterns estimates how often each labeller is right in either
+class; the posterior of a pattern, corrected by its annotated rows, is the label of
+its documents. The posteriors of all documents train a linear scorer over hashed
+word features.
+
+Annotations calibrate the labellers' rates and give the lexicon. The sample has at most
+``max_annotated`` rows, those with the smallest hashes of their ids, so its ids fit
+a broadcast whatever the table's size. Every ``holdout``-th annotated id by another
+hash is never used, so it can measure the result. All else covers every document.
+
+Cases: null and empty texts have no words and are rejected; repeated rows get the
+same score; equal scores of 0 are rejected; other columns pass through; an empty
+table gives an empty result; labels without ids or values don't count, and of an
+id with several labels the worst counts.
 """
 
 from __future__ import annotations
 
 import math
+import operator
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,44 +32,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, words
+from .common import stored, utf8, words
 
-LABELLERS = ("short", "symbols", "capitals", "separators", "repeats", "function_words", "insults", "annotation")
+LABELLERS = ("short", "symbols", "capitals", "separators", "repeats", "function_words", "lexicon")
 BAD, NONE, GOOD = -1, 0, 1
 
 #: Words whose presence marks running prose, in four languages.
 FUNCTION_WORDS = frozenset(
     "the of and to in is that it was for on are as with be by a der die das und ist von zu mit den für le la les de des et est dans que pour el los las y en es por un con".encode().split()
 )
-#: The insult labeller's seed words; the scorer learns others.
-INSULTS = frozenset(b"idiot moron stupid loser scum trash pathetic worthless disgusting clown".split())
 
 _LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _CAPITALS = bytes(range(0x41, 0x5B))
 _SYMBOLS = b"#$%&*!|@^~<>{}[]=_\\"
-_BLANK = b" \n\t\r"
+_ALONE = re.compile(rb"(?<!\S)[!-/:-@\[-`{-~]+(?!\S)")  # signs without a letter or digit beside them
 _PREFIXES = (5, 6, 7)
 
 
 def vote(data: bytes, tokens: list[bytes]) -> list[int]:
-    """The votes of all labellers but the annotation. Bytes stand for characters."""
-    n, size = len(tokens), len(data) - sum(data.count(x) for x in (b" ", b"\n"))
+    """The votes of all labellers but the lexicon. Bytes stand for characters."""
+    n, size = len(tokens), len(data) - data.count(b" ") - data.count(b"\n")
     if not n:
-        return [BAD, NONE, NONE, NONE, NONE, NONE, NONE]
+        return [BAD, NONE, NONE, NONE, NONE, NONE]
     letters = len(data) - len(data.translate(None, _LETTERS))
     symbols = len(data) - len(data.translate(None, _SYMBOLS))
     capitals = len(data) - len(data.translate(None, _CAPITALS))
-    separators = data.count(b" | ")
-    repeats = sum(a == b for a, b in zip(tokens, tokens[1:]))
-    functional = sum(t in FUNCTION_WORDS for t in tokens)
+    alone = len(_ALONE.findall(data)) if symbols else 0
+    repeats = sum(map(operator.eq, tokens, tokens[1:]))
+    functional = sum(map(FUNCTION_WORDS.__contains__, tokens))
     return [
         BAD if n < 3 else NONE,
         BAD if symbols > 0.08 * size else GOOD if symbols < 0.01 * size else NONE,
         BAD if capitals > 0.3 * max(letters, 1) else NONE,
-        BAD if separators > 0.2 * n else NONE,
+        BAD if alone > 0.2 * n else NONE,
         BAD if n >= 20 and repeats > 0.2 * n else NONE,
         NONE if n < 20 else GOOD if functional > 0.1 * n else BAD if functional < 0.02 * n else NONE,
-        BAD if not INSULTS.isdisjoint(tokens) else NONE,
     ]
 
 
@@ -98,142 +106,207 @@ def _vote_features(votes: list[int], buckets: int) -> list[int]:
     return [buckets + 3 * i + v + 1 for i, v in enumerate(votes) if v]
 
 
-def em(patterns: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict[tuple[int, ...], float], list[dict]]:
+def _lexicon_vote(lexicon: dict, found: set[int]) -> int:
+    weights = lexicon["weights"]
+    hits = sorted(x for x in found if x in weights)
+    return BAD if hits and lexicon["bias"] + sum(weights[x] for x in hits) > 0 else NONE
+
+
+# How often a labeller is expected to vote in each class; counts as START documents of it.
+EXPECTED, START = {BAD: {BAD: 0.35, GOOD: 0.3}, GOOD: {BAD: 0.02, GOOD: 0.6}}, 20
+
+
+def em(patterns: dict[tuple[int, ...], int], marked: dict[tuple[tuple[int, ...], int], int] | None = None, rounds: int = 30) -> tuple[dict[tuple[int, ...], float], list[dict]]:
     """Posterior of "bad" for each vote pattern, and each labeller's rates.
 
     The labellers are taken as independent given the class. There are at most
-    3 ** labellers patterns, however many documents there are. The annotation,
-    which isn't a heuristic, keeps the reliability it starts with.
+    3 ** labellers patterns, however many documents there are. ``marked``: counts of
+    annotated rows by (votes, mark), whose class is known; together they weigh as
+    much as all documents, so the sample calibrates the rates alike at every size.
     """
-    total = sum(patterns.values()) or 1
-    k = len(next(iter(patterns), ()))
-    rates = [{c: {BAD: 0.35 if c == BAD else 0.02, GOOD: 0.05 if c == BAD else 0.6} for c in (BAD, GOOD)} for _ in range(k)]
-    if k:
-        rates[-1] = {BAD: {BAD: 0.45, GOOD: 0.0005}, GOOD: {BAD: 0.0005, GOOD: 0.45}}
-    prior = 0.2
+    total, k = sum(patterns.values()), len(next(iter(patterns), ()))
+    marked = {x: n for x, n in (marked or {}).items() if x[1] != NONE}
+    each = total / max(1, sum(marked.values()))
     posterior: dict[tuple[int, ...], float] = {}
 
+    def estimated() -> tuple[float, list[dict]]:
+        """Prior and rates from the posteriors so far and the marked rows."""
+        mass = {c: dict.fromkeys([(i, v) for i in range(k) for v in (BAD, GOOD)], 0.0) for c in (BAD, GOOD)}
+        size = {BAD: 0.0, GOOD: 0.0}
+        for p, n, c in [(p, patterns[p] * (q if c == BAD else 1 - q), c) for p, q in posterior.items() for c in (BAD, GOOD)] + [(p, n * each, c) for (p, c), n in marked.items()]:
+            size[c] += n
+            for i, v in enumerate(p):
+                if v:
+                    mass[c][i, v] += n
+        rates = [{c: {v: (mass[c][i, v] + START * EXPECTED[c][v]) / (size[c] + START) for v in (BAD, GOOD)} for c in (BAD, GOOD)} for i in range(k)]
+        return min(0.9, max(0.01, size[BAD] / (size[BAD] + size[GOOD]))) if size[BAD] + size[GOOD] else 0.2, rates
+
     def rate(i: int, c: int, v: int) -> float:
         r = rates[i][c]
-        return r[v] if v else max(1e-6, 1 - r[BAD] - r[GOOD])
+        return max(1e-6, r[v] if v else 1 - r[BAD] - r[GOOD])
 
+    prior, rates = estimated()
     for _ in range(rounds):
         for p in patterns:
             lb = math.log(prior) + sum(math.log(rate(i, BAD, v)) for i, v in enumerate(p))
             lg = math.log(1 - prior) + sum(math.log(rate(i, GOOD, v)) for i, v in enumerate(p))
-            posterior[p] = 1 / (1 + math.exp(min(700.0, lg - lb)))
-        bad = sum(n * posterior[p] for p, n in patterns.items())
-        prior = min(0.9, max(0.01, bad / total))
-        for i in range(k - 1):
-            for c, weight in ((BAD, lambda p: posterior[p]), (GOOD, lambda p: 1 - posterior[p])):
-                mass = sum(n * weight(p) for p, n in patterns.items())
-                for v in (BAD, GOOD):
-                    hits = sum(n * weight(p) for p, n in patterns.items() if p[i] == v)
-                    rates[i][c][v] = min(0.98, max(1e-4, (hits + 0.1) / (mass + 0.5)))
+            posterior[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, lg - lb))))
+        prior, rates = estimated()
     return posterior, rates
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_000, buckets: int = 1 << 40, evidence: float = 20.0) -> dict:
-    """Fit labeller accuracies and the hashed scorer.
+def _sums(rows: DataFrame, weigh, buckets: int, buffer: int = 6_000_000) -> DataFrame:
+    """f, bad, good: the documents that hold a feature, by class.
+
+    ``weigh`` gives a task's function from (tokens, data, mark, features) to the
+    weight of "bad" and further features. Feature ``-1`` is held by every document.
+    Features are collected and summed by sorting, ``buffer`` of them at once.
+    """
 
-    ``evidence``: the likelihood ratio (G-squared) from which a feature counts.
-    Without annotations the scorer is trained on every document's posterior.
-    ``buckets``: the hashed space, so wide that a rare word doesn't meet one that
-    counts. The model holds the features that count: each needs about ``evidence``
-    / 3 bad documents of the bounded sample, so their number is bounded too.
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, judge = _Features(buckets), weigh()
+        held: list[np.ndarray] = []
+        weights: list[float] = []
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(x) for x in held]
+            every = np.concatenate(held) if held else np.zeros(0, np.int64)
+            order = np.argsort(every, kind="stable")
+            every, bad = every[order], np.repeat(np.array(weights), sizes)[order]
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+            bad = np.add.reduceat(bad, first) if len(first) else bad
+            n = np.diff(np.append(first, len(every)))
+            held.clear(), weights.clear()
+            return pa.RecordBatch.from_arrays([pa.array(every[first]), pa.array(bad, pa.float64()), pa.array(n - bad, pa.float64())], names=["f", "bad", "good"])
+
+        size = 0
+        for batch in batches:
+            for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
+                tokens = words(data)
+                found = features.of(tokens)
+                p, more = judge(data or b"", tokens, mark, found)
+                found.update(more)
+                found.add(-1)
+                held.append(np.fromiter(found, np.int64, len(found)))
+                weights.append(p)
+                size += len(found)
+                if size > buffer:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return rows.mapInArrow(summed, "f long, bad double, good double").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def calibrated(posterior: dict[tuple[int, ...], float], marked: dict[tuple[tuple[int, ...], int], int], strength: float = 5.0) -> dict[tuple[int, ...], float]:
+    """Posteriors that count as ``strength`` annotated rows of their pattern beside the real ones."""
+    out = {}
+    for p, q in posterior.items():
+        bad, good = marked.get((p, BAD), 0), marked.get((p, GOOD), 0)
+        out[p] = (bad + strength * q) / (bad + good + strength)
+    return out
+
+
+def _weighted(sums: DataFrame, evidence: float, least: float, most: int) -> dict:
+    """Log-odds of the features that speak against a document, and the bias.
+
+    A feature counts from a likelihood ratio (G-squared) of ``evidence`` and log-odds
+    of ``least`` on, so only if it is rare among good documents; of more than ``most`` those with the largest
+    ratio make the model.
     """
-    texts = docs.select("doc_id", "text")
-    if labels is None:
-        known = texts.withColumn("mark", F.lit(NONE))
-    else:
-        marks = (
-            labels.where(F.col("doc_id").isNotNull())
+    total = (sums.where("f = -1").collect() or [None])[0]
+    if total is None:
+        return {"weights": {}, "bias": -1.0}
+    a, b = total["bad"] + 1.0, total["good"] + 1.0
+    lr, share = F.log((F.col("bad") + 0.5) / a) - F.log((F.col("good") + 0.5) / b), F.col("bad") + F.col("good")
+    g2 = 2 * (F.col("bad") * F.log((F.col("bad") + 1e-9) / (share * a / (a + b))) + F.col("good") * F.log((F.col("good") + 1e-9) / (share * b / (a + b))))
+    kept = sums.where("f >= 0").select("f", lr.alias("w"), g2.alias("g")).where((F.col("g") > evidence) & (F.col("w") > least))
+    return {"weights": {r["f"]: r["w"] for r in kept.orderBy(F.desc("g"), "f").limit(most).collect()}, "bias": math.log(a / b)}
+
+
+def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_000, holdout: int = 5, buckets: int = 1 << 40, evidence: float = 30.0, max_features: int = 500_000) -> dict:
+    """Fit the lexicon, the labellers' rates and the hashed scorer.
+
+    Without annotations there is no lexicon. ``buckets``: the hashed space, so wide
+    that a rare word doesn't meet one that counts. ``max_features``: of the model.
+    """
+    texts, lexicon = docs.select("doc_id", "text"), {"weights": {}, "bias": -1.0}
+    known = texts.select("text", F.lit(NONE).alias("mark"))
+    if labels is not None:
+        marks = stored(
+            labels.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(holdout)) != 0))
             .groupBy("doc_id")
             .agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("m"), F.max(F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 1)).alias("any"))
             .where("any = 1")
             .orderBy(F.xxhash64("doc_id"), "doc_id")
             .limit(max_annotated)
-            .select("doc_id", F.when(F.col("m") == 1, BAD).otherwise(GOOD).alias("mark"))
+            .select("doc_id", F.when(F.col("m") == 1, BAD).otherwise(GOOD).alias("mark")),
+            "marks",
         )
-        known = texts.join(F.broadcast(marks), "doc_id", "left").select("doc_id", "text", F.coalesce("mark", F.lit(NONE)).alias("mark"))
+        annotated = texts.join(F.broadcast(marks), "doc_id").select("text", "mark")
+        sums = stored(_sums(annotated, lambda: lambda data, tokens, mark, found: (float(mark == BAD), ()), buckets), "lexicon")
+        lexicon = _weighted(sums, 20.0, 3.0, max_features)
+        known = texts.join(F.broadcast(marks), "doc_id", "left").select("text", F.coalesce("mark", F.lit(NONE)).alias("mark"))
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, ...], int] = {}
+        features, counts = _Features(buckets, frozenset(sent.value["weights"])), {}
         for batch in batches:
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                p = (*vote(data or b"", words(data)), mark)
+                tokens = words(data)
+                p = (*vote(data or b"", tokens), _lexicon_vote(sent.value, features.of(tokens)), mark)
                 counts[p] = counts.get(p, 0) + 1
         yield pa.RecordBatch.from_pydict({"p": pa.array([list(p) for p in counts], pa.list_(pa.int32())), "n": pa.array(list(counts.values()), pa.int64())})
 
-    found = known.select("text", "mark").mapInArrow(patterns_of, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    patterns = {tuple(r["p"]): r["n"] for r in found.toLocalIterator()}  # 3 ** 8 rows at most
-    posterior, rates = em(patterns)
+    found = known.mapInArrow(patterns_of, "p array<int>, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    patterns: dict[tuple[int, ...], int] = {}
+    marked: dict[tuple[tuple[int, ...], int], int] = {}
+    for r in found.toLocalIterator():  # 3 ** 8 rows at most
+        *votes, mark = r["p"]
+        patterns[tuple(votes)] = patterns.get(tuple(votes), 0) + r["n"]
+        marked[tuple(votes), mark] = r["n"]
+    posterior, rates = em(patterns, marked)
+    posterior = calibrated(posterior, marked)
 
-    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, size = _Features(buckets), buckets + 3 * len(LABELLERS)
-        sums: dict[int, list[float]] = {}
-        for batch in batches:
-            for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                tokens = words(data)
-                votes = vote(data or b"", tokens)
-                p = posterior.get((*votes, mark), 0.0)
-                for x in (*features.of(tokens), *_vote_features(votes, buckets), size):
-                    pair = sums.setdefault(x, [0.0, 0.0])
-                    pair[0] += p
-                    pair[1] += 1 - p
-            if len(sums) > 1_000_000:
-                yield batch_of(sums)
-                sums = {}
-        yield batch_of(sums)
-
-    def batch_of(sums: dict[int, list[float]]) -> pa.RecordBatch:
-        pairs = np.array(list(sums.values()), np.float64).reshape(-1, 2)
-        return pa.RecordBatch.from_pydict({"f": pa.array(list(sums), pa.int64()), "bad": pa.array(pairs[:, 0]), "good": pa.array(pairs[:, 1])})
-
-    seen = known if labels is None else texts.join(F.broadcast(marks), "doc_id")
-    sums = seen.select("text", "mark").mapInArrow(counts_of, "f long, bad double, good double").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    total = (sums.where(F.col("f") == buckets + 3 * len(LABELLERS)).collect() or [None])[0]
-    if total is None:
-        return {"weights": {}, "bias": -1.0, "rates": rates, "buckets": buckets}
-    a, b = total["bad"] + 1.0, total["good"] + 1.0
-    lr, share = F.log((F.col("bad") + 0.5) / a) - F.log((F.col("good") + 0.5) / b), F.col("bad") + F.col("good")
-    g2 = 2 * (F.col("bad") * F.log((F.col("bad") + 1e-9) / (share * a / (a + b))) + F.col("good") * F.log((F.col("good") + 1e-9) / (share * b / (a + b))))
-    # A word may speak against a document only if it is rare among good ones.
-    kept = sums.where(F.col("f") < buckets + 3 * len(LABELLERS)).withColumn("w", lr).where((g2 > evidence) & (F.col("w") > 2.0))
-    return {"weights": {r["f"]: r["w"] for r in kept.select("f", "w").collect()}, "bias": math.log(a / b), "rates": rates, "buckets": buckets}
+    def posteriors():
+        def judge(data: bytes, tokens: list[bytes], mark: int, found: set[int]) -> tuple[float, list[int]]:
+            votes = [*vote(data, tokens), _lexicon_vote(sent.value, found)]
+            return posterior.get(tuple(votes), 0.0), _vote_features(votes, buckets)
+
+        return judge
 
+    sums = stored(_sums(known.select("text", "mark"), posteriors, buckets), "features")
+    return _weighted(sums, evidence, 2.0, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Each document's columns, with ``quality_score`` (log-odds of good) and ``keep``.
 
-    Null and empty texts have no words: the "short" labeller rejects them.
-    Repeated rows get the same score; other columns pass through.
+def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:
+    """Each document's columns, then its score (log-odds of good) and whether to keep it.
+
+    ``names``: of the two columns; input columns of these names are replaced.
     """
-    weights, bias, buckets = model["weights"], model["bias"], model["buckets"]
-    schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(True).alias("keep")).schema
-    at = docs.columns.index("text")
+    docs = docs.drop(*names)
+    schema = docs.select("*", F.lit(0.0).alias(names[0]), F.lit(True).alias(names[1])).schema
+    at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _Features(buckets, frozenset(weights))
+        model = sent.value
+        weights, bias, buckets, lexicon = model["weights"], model["bias"], model["buckets"], model["lexicon"]
+        features = _Features(buckets, frozenset(weights) | frozenset(lexicon["weights"]))
         for batch in batches:
             scores = []
             for data in utf8(batch.column(at)):
                 tokens = words(data)
-                votes = vote(data or b"", tokens)
                 found = features.of(tokens)
-                found.update(x for x in _vote_features(votes, buckets) if x in weights)
-                against = bias + sum(weights[x] for x in sorted(found))
-                scores.append(-20.0 if votes[0] == BAD and not tokens else -against)
+                votes = [*vote(data or b"", tokens), _lexicon_vote(lexicon, found)]
+                found.update(_vote_features(votes, buckets))
+                against = bias + sum(weights[x] for x in sorted(found) if x in weights)
+                scores.append(-against if tokens else -20.0)
             arrays = [*batch.columns, pa.array(scores, pa.float64()), pa.array([s > 0 for s in scores])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(judged, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame | None, **options) -> DataFrame:
-    """Fit on ``docs`` and ``labels`` and score every document.
-
-    An input column named ``quality_score`` or ``keep`` is replaced.
-    """
-    docs = docs.drop("quality_score", "keep")
-    return score(docs, fit(docs, labels, **options))
+def classify(docs: DataFrame, labels: DataFrame | None, names: tuple[str, str] = ("quality_score", "keep"), **options) -> DataFrame:
+    """Fit on ``docs`` and ``labels`` and score every document."""
+    return score(docs, fit(docs, labels, **options), names)
