@@ -6,6 +6,7 @@ equal darts in every document. A dart names a coordinate; the earliest dart at
 each coordinate is the signature. About k ln k + 2k darts are thrown for k
 coordinates, whatever the document's length; where one stays empty, more are.
 
+A shingle's weight is the number of its occurrences, so banding works on multisets.
 Documents that share a band are candidates. Within a band's bucket nobody is
 paired with everybody: each member is compared with the bucket's hub only, and
 those that don't reach the threshold with a second one; what is linked becomes
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8, words
+from .common import free, stored, utf8, words
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 6
 PARITIES = 16  # longs, 1024 bits
@@ -87,13 +88,13 @@ def dart_minhash(elements: np.ndarray, k: int, weights: np.ndarray | None = None
     similarity, sum of minima over sum of maxima.
     """
     if weights is None:
-        strips, width = elements, None
+        strips, width = mix(elements), None
     else:
         full = np.ceil(weights).astype(np.int64)
         at = np.repeat(np.arange(len(elements)), full)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(full) - full, full)
         strips = mix(elements[at] + nth.astype(np.uint64) * _ODD[1])
-        width = np.minimum(1.0, weights[at] - nth)
+        width = np.minimum(1.0, weights[at] - nth) if (full != weights).any() else None
     total = float(len(elements)) if weights is None else float(np.sum(weights))
     limit = (k * math.log(k) + 2 * k) / max(total, 1e-9)
     while True:
@@ -129,7 +130,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signed(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def signed(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, weights: str = "count") -> DataFrame:
     """A row for each document: uid, th, doc_id, key (of its words), n, bands.
 
     ``weights``: "set" counts a shingle once, "count" as often as it occurs.
@@ -257,10 +258,12 @@ def apart(listed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
     ``listed``: token, key, n, place, root; ``odd``: key and parities. The members of a token's largest root
     are never on the left side, so they don't meet each other.
     """
-    several = listed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("token")
-    listed = stored(listed.join(several, "token").join(odd, "key"), "listed")
-    crowd = listed.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max(F.struct("m", "root")).alias("x")).select("token", F.col("x.root").alias("crowd"))
-    left = listed.join(crowd, "token").where("root != crowd").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("odd").alias("oa"), "crowd")
+    listed = stored(listed, "prefixes")
+    roots = listed.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.count("*").alias("k"), F.max(F.struct("m", "root")).alias("x"))
+    # Written before it is joined: a token with many rows is then split among tasks.
+    crowd = stored(roots.where("k > 1").select("token", F.col("x.root").alias("crowd")), "crowds")
+    listed = stored(listed.join(crowd, "token").join(odd, "key"), "listed")
+    left = listed.where("root != crowd").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"), F.col("odd").alias("oa"), "crowd")
     right = listed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"), F.col("odd").alias("ob"))
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity - 1e-9)
     # The rarest shingle in common is met with nothing before it; what follows it in either list is all there can be.
@@ -273,7 +276,7 @@ def apart(listed: DataFrame, odd: DataFrame, similarity: float) -> DataFrame:
     return met.select(*[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in turned]).distinct()
 
 
-def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", hubs: int = 2) -> DataFrame:
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "count", hubs: int = 2) -> DataFrame:
     """A row for each document row: uid, th, doc_id, class_id, class_size."""
     known = _rooted(docs, similarity=similarity, bands=bands, rows=rows, weights=weights, hubs=hubs)
     own = known.where("root is null").select("uid", "th", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
@@ -282,7 +285,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BAN
     return known.join(sizes, "root").select("uid", "th", "doc_id", "class_id", "class_size").unionByName(own)
 
 
-def _rooted(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", hubs: int = 2) -> DataFrame:
+def _rooted(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "count", hubs: int = 2) -> DataFrame:
     """uid, th, doc_id and root of each document row; rows without words have no root."""
     rowsof = stored(signed(docs, bands=bands, rows=rows, weights=weights), "signed")
     nodes = rowsof.where("key is not null").groupBy("key").agg(F.min(F.struct("uid", "th")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -317,6 +320,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     found = _rooted(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "uid")).alias("x")
     keep = found.where("root is not null").groupBy("root").agg(first).select("x.uid", "x.th").unionByName(found.where("root is null").select("uid", "th")).distinct()
-    marked = docs.withColumn("__uid", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("__th", F.xxhash64("text"))
-    kept = marked.join(keep.select(F.col("uid").alias("__uid"), F.col("th").alias("__th")), ["__uid", "__th"], "left_semi")
-    return kept.dropDuplicates(["__uid", "__th"]).select(*docs.columns)
+    uid, th = free(docs.columns, "uid"), free(docs.columns, "th")
+    marked = docs.withColumns({uid: F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), th: F.xxhash64("text")})
+    kept = marked.join(keep.select(F.col("uid").alias(uid), F.col("th").alias(th)), [uid, th], "left_semi")
+    return kept.dropDuplicates([uid, th]).select(*docs.columns)
