@@ -15,9 +15,11 @@ covered at once, and one anchor stands for the others); by the eight strings of
 366 bytes of which one lies inside any repeated window; by the 400 bytes, first
 at both ends of what such a string leaves open, then between them.
 
-All steps are counts by identifier, summed before the shuffle, so no group of
-copies meets in one task. Equal texts share a key and are read once. Identifiers
-have 64 bits; strings are taken as equal if theirs are.
+All steps are counts by identifier, summed before the shuffle; what is counted is
+written before it is joined, so the rows of a common string are split among tasks.
+Equal texts share a key and are read once. Identifiers have 64 bits. What decides
+about a removal is compared by its bytes as well: strings are taken as equal if
+identifier and a second, independent 64-bit digest of their bytes are.
 
 Cases: null is the empty text; strings shorter than 400 bytes are never removed;
 repeated rows are documents of their own, so their texts go from 400 bytes on.
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +76,14 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Places, 128-byte identifiers, 672-byte identifiers and whether those exist.
+def checks(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Digests of the bytes of the strings at ``starts``."""
+    view = memoryview(data)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + length]) for a in starts.tolist()), np.uint64, len(starts))
+
+
+def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places, 128-byte identifiers, 672-byte identifiers and digests, whether those exist.
 
     Long texts are taken in pieces that overlap, so memory doesn't grow with them.
     """
@@ -95,11 +104,13 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
             full = refine(refine(double[inside - FREE], double[inside - 16]), double[inside + 144])
         else:
             full = np.zeros(len(at), np.uint64)
-        yield at + start, gram[at], full, whole
+        check = np.zeros(len(at), np.uint64)
+        check[whole] = checks(data, at[whole] + start - FREE, FREE + LENGTH)
+        yield at + start, gram[at], full, check, whole
 
 
-def strings(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of the strings of 366 or 400 bytes at sorted ``starts``."""
+def strings(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers and digests of the strings of 366 or 400 bytes at sorted ``starts``."""
     out, everything = [], np.frombuffer(data, np.uint8)
     for low in range(0, len(data), CHUNK):
         at = starts[(starts >= low) & (starts < low + CHUNK)]
@@ -107,7 +118,7 @@ def strings(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
             begin = int(at[0])
             _, double = buckets(everything[begin : int(at[-1]) + length])
             out.append(refine(double[at - begin], double[at - begin + length - 2 * GRAM]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), checks(data, starts, length)
 
 
 def _place(*columns: str) -> Column:
@@ -116,7 +127,12 @@ def _place(*columns: str) -> Column:
 
 def _several(rows: DataFrame, place: Column, *by: str) -> DataFrame:
     """The values of ``by`` found at two places at least, with one of them."""
-    return rows.groupBy(*by).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one != other")
+    return stored(rows.groupBy(*by).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one != other").drop("other"), "several")
+
+
+def _repeated(rows: DataFrame, place: Column, *by: str) -> DataFrame:
+    """The rows whose values of ``by`` are found at two places at least."""
+    return rows.join(_several(rows, place, *by).select(*by), [*by], "left_semi").select(*rows.columns)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -137,14 +153,14 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     found.append(piece)
                     keys += [key] * len(piece[0])
             if keys:
-                at, gram, full, whole = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at), pa.array(gram.view(np.int64)), pa.array(full.view(np.int64), mask=~whole)], names=["key", "at", "gram", "around"])
+                at, gram, full, check, whole = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at), pa.array(gram.view(np.int64)), pa.array(full.view(np.int64), mask=~whole), pa.array(check.view(np.int64), mask=~whole)], names=["key", "at", "gram", "around", "check"])
 
-    every = stored(texts.mapInArrow(scan, "key binary, at long, gram long, around long"), "anchors")
+    every = stored(texts.mapInArrow(scan, "key binary, at long, gram long, around long, check long"), "anchors")
     grams = _several(every.select("gram", _place("key", "at").alias("p")), F.col("p"), "gram").select("gram")
     some = stored(every.join(grams, "gram").dropDuplicates(["key", "at"]), "shared")
-    around = _several(some.where("around is not null"), _place("key", "at"), "gram", "around").select("gram", "around", "one")
-    marked = some.join(around, ["gram", "around"], "left")
+    around = _several(some.where("around is not null"), _place("key", "at"), "around", "check").select("around", "check", "one")
+    marked = some.join(around, ["around", "check"], "left")
     covered = marked.where("one is not null").select("key", F.struct((F.col("at") - FREE).alias("a"), (F.col("at") + LENGTH).alias("b")).alias("span"))
     edges = marked.where("one is null").select("key", "at", "gram")
     ones = marked.where(F.col("one") == _place("key", "at")).select("key", "at", "gram").join(edges.select("gram").distinct(), "gram", "left_semi").select("key", "at", "gram")
@@ -153,7 +169,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     subset = stored(texts.join(places, "key").dropDuplicates(["key"]).withColumn("doc", F.xxhash64("key")), "subset")
 
     def emit(starts_of, length: int):
-        """Rows (doc, at, id) for the starts that ``starts_of`` makes of the other columns."""
+        """Rows (doc, at, id, check) for the starts that ``starts_of`` makes of the other columns."""
 
         def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -161,28 +177,30 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     starts = np.unique(starts_of(*(np.array(x or (), np.int64) for x in rest)))
                     starts = starts[(starts >= 0) & (starts + length <= len(data))]
                     if len(starts):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc)), pa.array(starts), pa.array(strings(data, starts, length).view(np.int64))], names=["doc", "at", "id"])
+                        found = strings(data, starts, length)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc)), pa.array(starts), *(pa.array(x.view(np.int64)) for x in found)], names=["doc", "at", "id", "check"])
 
         return emitted
 
-    form, place, texts_of = "doc long, at long, id long", _place("doc", "at"), subset.select("doc", "data")
+    form, place, texts_of = "doc long, at long, id long, check long", _place("doc", "at"), subset.select("doc", "data")
     cores = stored(subset.select("doc", "data", "at").mapInArrow(emit(lambda at: (at[:, None] - PIECE * np.arange(STEPS)).ravel(), CORE), form), "cores")
-    cells = stored(cores.join(_several(cores, place, "id").select("id"), "id", "left_semi").select(*cores.columns), "cells")
+    cells = stored(_repeated(cores, place, "id", "check"), "cells")
     # The windows at both ends of a cell; where they repeat, those between cover nothing more.
     starts = cells.groupBy("doc").agg(F.collect_set("at").alias("s"))
     ends = stored(texts_of.join(starts, "doc").mapInArrow(emit(lambda s: np.concatenate((s, s - PIECE)), LENGTH), form), "ends")
-    known = stored(ends.join(_several(ends, place, "id").select("id"), "id", "left_semi").select("doc", "at"), "known")
+    known = stored(_repeated(ends, place, "id", "check").select("doc", "at"), "known")
     both = cells.join(known.withColumn("right", F.lit(True)), ["doc", "at"], "left").join(known.select("doc", (F.col("at") + PIECE).alias("at"), F.lit(True).alias("left")), ["doc", "at"], "left")
-    unclear = both.where("right is null or left is null").select("id").distinct()
+    unclear = stored(both.where("right is null or left is null").select("id").distinct(), "unclear")
     inner = cells.join(unclear, "id", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("s"))
     windows = stored(texts_of.join(inner, "doc").mapInArrow(emit(lambda s: (s[:, None] - np.arange(1, PIECE)).ravel(), LENGTH), form), "windows")
-    found = known.unionByName(windows.join(_several(windows, place, "id").select("id"), "id", "left_semi").select("doc", "at"))
+    found = known.unionByName(_repeated(windows, place, "id", "check").select("doc", "at"))
     spans = covered.select(F.xxhash64("key").alias("doc"), "span").unionByName(found.select("doc", F.struct(F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")).alias("span")))
     return subset.select("key", "doc", "data"), spans.groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
+    ``spans``, the removed runs as start:end in bytes, comma-joined."""
     subset, spans = repeats(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +213,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 np.add.at(ends, pairs.field("b").to_numpy(), -1)
                 gone = np.cumsum(ends[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                out.append((key, int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.int64(), pa.string()))], names=["key", "removed", "runs", "kept"]) if out else pa.RecordBatch.from_pylist([], pa.schema([("key", pa.binary()), ("removed", pa.int64()), ("runs", pa.int64()), ("kept", pa.string())]))
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])).astype(np.int8)))
+                runs = edges.reshape(-1, 2).tolist()
+                out.append({"key": key, "removed": int(gone.sum()), "runs": len(runs), "kept": hashlib.sha256(kept).hexdigest(), "cut": ",".join(f"{a}:{b}" for a, b in runs)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.binary()), ("removed", pa.int64()), ("runs", pa.int64()), ("kept", pa.string()), ("cut", pa.string())]))
 
-    cuts = subset.join(spans, "doc").select("key", "data", "spans").mapInArrow(cut, "key binary, removed long, runs long, kept string")
+    cuts = subset.join(spans, "doc").select("key", "data", "spans").mapInArrow(cut, "key binary, removed long, runs long, kept string, cut string")
     rows = keyed(docs).select("doc_id", "key", "digest", "n_bytes")
-    copies = rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    told = copies.select("key").withColumn("copied", F.lit(True)).join(cuts, "key", "full_outer")
+    copies = stored(rows.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    told = stored(copies.select("key").withColumn("copied", F.lit(True)).join(cuts, "key", "full_outer"), "told")
     copied = F.coalesce("copied", F.lit(False))
     return rows.join(told, "key", "left").select(
         "doc_id",
@@ -209,4 +229,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copied, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "digest")).alias("kept_sha256"),
+        F.when(copied, F.concat(F.lit("0:"), F.col("n_bytes").cast("string"))).otherwise(F.coalesce("cut", F.lit(""))).alias("spans"),
     )
