@@ -10,7 +10,8 @@ bucket is cut off, so a crowd of equal vectors is verified as a whole.
 
 Rows are dealt to tasks as they are read, each task indexes its own blocks of at
 most ``block_rows`` rows, and the stated query set goes over all rows in blocks
-of at most ``query_rows`` queries, so all that is sent or held has a bound.
+of at most ``query_rows`` queries, so all that is sent or held has a bound. A task
+indexes a block of rows once for all queries of such a block.
 """
 
 from __future__ import annotations
@@ -86,12 +87,13 @@ class CollisionIndex:
 
 
 def search(
-    vectors: DataFrame, *, column: str = "embedding", every: int = 100, k: int = 10, m: int = 64, share: float = 0.6, spare: float = 0.3, growth: float = 1.1, block_rows: int = 8192, query_rows: int = 2048, seed: int = 7
+    vectors: DataFrame, *, column: str = "embedding", every: int = 100, k: int = 10, m: int = 128, share: float = 0.7, spare: float = 0.1, growth: float = 1.1, block_rows: int = 8192, query_rows: int = 32768, seed: int = 7
 ) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k nearest other rows found.
 
-    Queries are the rows whose id is divisible by ``every``. A row is left out
-    as a candidate if its id is the query's. Vectors of another length than the
+    Queries are the rows whose id is divisible by ``every``; of rows that repeat
+    an id the smallest vector asks. A row is left out as a candidate if its id is the
+    query's. Vectors of another length than the
     query's are no candidates. Repeated rows are candidates each.
     """
     spark = vectors.sparkSession
@@ -102,17 +104,19 @@ def search(
     found = None
     for part in range(parts):
         mine = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
-        block = [(r["vec_id"], np.array(r["v"])) for r in mine.toLocalIterator()]  # about query_rows rows
-        sent = spark.sparkContext.broadcast(block)
+        block: dict[int, list] = {}
+        for r in mine.toLocalIterator():  # about query_rows rows, an array for each length of vectors
+            block.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
+        sent = spark.sparkContext.broadcast({size: (np.array([i for i, _ in x]), np.array([v for _, v in x], float)) for size, x in block.items()})
 
         def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             def block_of(ids: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
                 index = CollisionIndex(ids, dense, m, share, spare, growth, seed)
                 out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-                fit = [(own, query) for own, query in sent.value if len(query) == dense.shape[1]]
-                for start in range(0, len(fit), 256):
-                    some = fit[start : start + 256]
-                    for (own, _), (at, distance) in zip(some, index.search(np.stack([q for _, q in some]), np.array([o for o, _ in some]), k)):
+                owns, queries = sent.value.get(dense.shape[1], (np.zeros(0, np.int64), dense[:0]))
+                for start in range(0, len(owns), 256):
+                    some = owns[start : start + 256]
+                    for own, (at, distance) in zip(some.tolist(), index.search(queries[start : start + 256], some, k)):
                         out.append((np.full(len(at), own), index.ids[at], distance))
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "vec_id", "score"])
 
