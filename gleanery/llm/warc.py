@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stored
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,12 +30,34 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 16 << 20
 
 
-def resolved(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, digest, n, refers_to (null for responses)."""
+def headers(pages: DataFrame, *more: Column) -> DataFrame:
+    """page_id, url, digest and n of each page, and no payload unless it is asked for."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    firsts = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n"), *more)
+
+
+def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+    """page_id, url, digest, n and refers_to of the pages that revisit another.
+
+    Only headers are shuffled. The first pages are written before they are joined,
+    so the headers of a common payload are split among tasks.
+    """
+    heads = headers(pages).where(F.col("n") >= least_bytes)
+    firsts = stored(heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("m")).where("m > 1").select("digest", "refers_to"), "firsts")
+    return heads.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "url", "digest", "n", "refers_to")
+
+
+def resolved(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+    """page_id, url, payload (null for revisits), digest, n, refers_to (null for responses).
+
+    Payloads are kept where no revisit has their page and digest, so they move by
+    page, never by digest, and only if the revisits are too many to be broadcast.
+    """
+    again = stored(revisits(pages, least_bytes), "revisits")
+    gone = again.select(F.col("page_id").alias("p"), F.col("digest").alias("d")).distinct()
+    own = headers(pages, F.coalesce("html", F.lit("")).alias("payload"))
+    responses = own.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left_anti")
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(again.withColumn("payload", F.lit(None).cast("string")))
 
 
 def _id(page: Column, digest: Column) -> Column:
@@ -69,8 +91,7 @@ def record(row: DataFrame) -> Column:
 def write(pages: DataFrame, path: str, *, least_bytes: int = 100, file_bytes: int = FILE_BYTES) -> None:
     """Write gzip-compressed archives of about ``file_bytes`` uncompressed bytes.
 
-    Payloads move once, to meet their digest's response; where few payloads
-    repeat, and Spark broadcasts those digests, not at all.
+    A file is one gzip stream.
     """
     sizes = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 600).alias("b"), F.count("*").alias("n")).first()
     records = max(1, file_bytes * sizes["n"] // max(1, sizes["b"] or 0))
