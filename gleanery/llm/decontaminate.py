@@ -3,14 +3,16 @@
 The automaton of the normalised benchmark items is built once for a block of
 items and sent to the tasks; each document's words stream through it, and the
 length of the longest match that ends at each word is tracked. A benchmark is a
-stated query set: it is taken in blocks of at most ``block_words`` words, so
-what is broadcast has that bound whatever the benchmark's size.
+stated query set: it is taken in blocks of about ``block_words`` words, and a longer
+item in pieces that overlap, so what is broadcast has that bound whatever the
+benchmark's size (about 0.6 KB a word in the driver and in each task).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +144,23 @@ def blocks(benchmark: DataFrame, block_words: int) -> list[list[int]]:
     return list(range(max(1, -(-int(total) // (4 * block_words)))))
 
 
-def match(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = 1_000_000) -> DataFrame:
+def pieces(items: DataFrame, words_each: int, window: int) -> DataFrame:
+    """item, text: items of more than ``words_each`` words in pieces that share ``window`` - 1 words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                tokens = words(data)
+                for at in range(0, max(1, len(tokens) - (window - 1 if len(tokens) > words_each else 0)), words_each):
+                    ids.append(item)
+                    texts.append(b" ".join(tokens[at : at + words_each + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], names=["item", "text"])
+
+    return items.mapInArrow(cut, "item string, text binary")
+
+
+def match(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = 200_000) -> DataFrame:
     """Per document row: its columns, then ``n_words``, ``hits`` (maximal runs of
     hit words as (start, end)), ``items`` and ``longest``.
 
@@ -153,12 +171,13 @@ def match(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_
     docs = docs.drop("n_words", "hits", "items", "longest")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     n = len(blocks(items, block_words))
+    items = pieces(items, max(window, block_words // 4), window)
     schema = docs.selectExpr("*", "0L as n_words", "array(struct(0L as a, 0L as b)) as hits", "array('') as items", "0L as longest").schema
     at = docs.columns.index("text")
     out = docs
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        sent = spark.sparkContext.broadcast(SuffixAutomaton([(r["item"], words(r["text"].encode())) for r in part.collect()], window))
+        sent = spark.sparkContext.broadcast(SuffixAutomaton([(r["item"], bytes(r["text"]).split()) for r in part.collect()], window))
         first = k == 0
 
         def matched(batches: Iterator[pa.RecordBatch], sent=sent, first=first) -> Iterator[pa.RecordBatch]:
@@ -202,7 +221,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.05, **o
     out = match(docs.drop("n_hit", "contaminated"), benchmark, **options)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     out = out.withColumn("n_hit", hit)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / coverage) >= F.col("n_words")))
+    limit = Fraction(str(coverage))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * limit.denominator >= F.col("n_words") * limit.numerator))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, coverage: float = 0.05, span_words: int = 13, **options) -> DataFrame:
