@@ -7,7 +7,8 @@ vote patterns estimates the labellers' reliabilities, and the posteriors train a
 linear classifier over hashed span features, which decides what is added.
 
 Cases: a null text is an empty one; repeated rows are judged alike; an empty
-table gives an empty result; columns named like the added ones are replaced.
+table gives an empty result; spans() replaces columns named like the added
+ones, redacted() returns all columns of its input; ties can't occur.
 Every column expression works on one row, so nothing of one key meets in a task;
 what reaches the driver is one row for each vote pattern or hashed feature.
 """
@@ -19,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 # The base patterns. A match begins where a run of its characters
 # begins or where the last match ended (\G), as any later start in the run fails
 # like the first; so long runs are read once. Possessive parts can't give back
@@ -31,9 +34,9 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Candidates of the method, its gazetteers and its context words.
 AT, DOT = r" ?[\[(](?:at|AT)[\])] ?", r"(?: ?[\[(](?:dot|DOT)[\])] ?|\.)"
-OBFUSCATED = rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z]{{2,20}}){{1,3}}"
+OBFUSCATED = rf"[A-Za-z0-9][A-Za-z0-9._%+-]*+{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z]{{2,}}+)++"
 TOKEN = r"[A-Za-z0-9_+/=-]{20,}+"
-DIGITS = r"[0-9][0-9 ().-]{5,24}[0-9]"
+DIGITS = r"[0-9][0-9 ().-]{5,}[0-9]"
 CANDIDATE = rf"(?<![A-Za-z0-9._%+-])(?:{OBFUSCATED}|{TOKEN}|{DIGITS})"
 TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk"
 CONTEXT_FOR = r"(?i)(?:token|secret|api.?key|key|passw(?:or)?d|phone|tel|telefon|mobile|call|fax|ssn|social|mail|contact|account|konto|iban|passport|card)\W{0,4}$"
@@ -117,7 +120,7 @@ def _candidates(text: Column, base: Column) -> Column:
         gazetteer = F.when(F.regexp_like(hit, F.lit(NOT_PRIVATE)), -1).when(F.regexp_like(hit, F.lit(rf"(?i)(?:\.|dot[\])] ?)(?:{TOP_DOMAINS})$|^(?:sk|pk|gh|AKIA)[_A-Z0-9]|^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{{32,}}$|^\(?[2-9][0-9]{{2}}\)?[ .-]555")), 1).otherwise(0)
         context = F.when(F.regexp_like(before, F.lit(rf"{CONTEXT_FOR}")), 1).when(F.regexp_like(before, F.lit(CONTEXT_AGAINST)), -1).otherwise(0)
         word = F.lower(F.regexp_extract(before, r"([A-Za-z]+)\W*$", 1))
-        length, share = F.least(F.floor((x["end"] - x["start"]) / 4), F.lit(12)), F.floor(4 * digits / (x["end"] - x["start"]))
+        length, share = F.floor(2 * F.log2((x["end"] - x["start"]).cast("double"))), F.floor(4 * digits / (x["end"] - x["start"]))
         shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A"), 1, 12)
         features = F.array(
             _bucketed(F.lit("kind"), kind), _bucketed(F.lit("size"), kind, length), _bucketed(F.lit("share"), kind, share), _bucketed(F.lit("shape"), shape), _bucketed(F.lit("word"), word),
@@ -173,9 +176,11 @@ def fit(docs: DataFrame) -> dict:
     return {"weights": weights, "bias": round(math.log(a / b), 9), "rates": dict(zip(LABELLERS, rates))}
 
 
-def spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
+def spans(docs: DataFrame, model: dict | None = None, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind number, end).
 
+    ``names``: of the two columns; input columns of these names are replaced.
+
     Kinds 0 to 3 are email, ip, card and phone, 4 is a secret. ``spans`` holds
     the base spans and those that the classifier adds.
     """
@@ -183,10 +188,10 @@ def spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     weights = F.array(*[F.lit(w) for w in model["weights"]])
     added = F.transform(
-        F.filter(_candidates(text, F.col("base")), lambda x: F.aggregate(x["features"], F.lit(model["bias"]), lambda s, f: s + F.get(weights, f)) > 0),
+        F.filter(_candidates(text, F.col(names[0])), lambda x: F.aggregate(x["features"], F.lit(model["bias"]), lambda s, f: s + F.get(weights, f)) > 0),
         lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")),
     )
-    return docs.drop("base", "spans").withColumn("base", base_spans(text)).withColumn("spans", F.array_sort(F.concat("base", added)))
+    return docs.drop(*names).withColumn(names[0], base_spans(text)).withColumn(names[1], F.array_sort(F.concat(names[0], added)))
 
 
 def listed(column: str) -> Column:
@@ -210,10 +215,11 @@ def redacted(docs: DataFrame, model: dict | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], between, F.get(names, x["kind"]))).otherwise(acc["out"]).alias("out"))
 
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("spans", empty, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = spans(docs, model).withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(text))
+    names_of = (free(docs.columns, "base"), free(docs.columns, "spans"))
+    whole = F.aggregate(names_of[1], empty, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = spans(docs, model, names_of).withColumn("text", F.when(F.size(names_of[1]) > 0, whole).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(names_of[1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
