@@ -6,7 +6,8 @@ copies are its cell's weight over the cell's tokens, and a number that its id
 fixes decides about the fraction.
 
 Cases: null sources and languages are one group of their own (''); null and
-empty texts have no tokens and get no copies; repeated rows are drawn alike; an
+empty texts have no tokens and get no copies, and where no document has tokens
+nothing is drawn; repeated rows are drawn alike; an
 empty table gives an empty result. Only cells, never documents, meet in the
 raking, so a source with a third of the rows is one row there.
 """
@@ -25,12 +26,18 @@ DIMENSIONS = ("source", "lang", "topic")
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS, BUDGET, SEED = 10, 0.6, "mix-1"
 
-# The cues that tell the topics, in the order in which they count.
-TOPICS = (("contact", "@"), ("code", "token = "), ("legal", "License"), ("list", " | "))
+# Patterns that tell the topics, in the order in which they count.
+TOPICS = (
+    ("contact", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.]|[+][0-9][0-9 ().-]+[0-9]"),
+    ("code", "[A-Za-z_][A-Za-z0-9_]* ?= ?[\"\\[{0-9]|[A-Za-z0-9_]+[(][^)\n]*[)] ?[;{]"),
+    ("legal", "[Ll]icen[sc]e|[Cc]opyright|[Ww]arranty"),
+    ("list", " [|] "),
+)
 
 
 def topic(text: Column) -> Column:
-    return reduce(lambda c, t: c.when(text.contains(t[1]), t[0]), TOPICS[1:], F.when(text.contains(TOPICS[0][1]), TOPICS[0][0])).otherwise("prose")
+    fits = lambda p: F.regexp_like(text, F.lit(p))
+    return reduce(lambda c, t: c.when(fits(t[1]), t[0]), TOPICS[1:], F.when(fits(TOPICS[0][1]), TOPICS[0][0])).otherwise("prose")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -39,24 +46,36 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__lang": F.coalesce("lang", F.lit("")), "__topic": topic(text), "__tokens": F.regexp_count(text, F.lit("[^ \t\n\r]+")).cast("long")})
 
 
-def raked(cells: DataFrame, *, exponents: dict = EXPONENTS, rounds: int = ROUNDS, every: int = 5) -> DataFrame:
-    """Cells with ``weight``, of which the sum is that of their tokens.
+def raked(cells: DataFrame, *, exponents: dict = EXPONENTS, rounds: int = ROUNDS) -> DataFrame:
+    """Cells with ``weight``, of which the sum is that of their tokens, and their goals.
 
-    The lineage is cut each ``every`` rounds.
+    A round scales the cells of each source, which are few, then those of each
+    language and topic. For the latter the sums by language and topic are enough:
+    they are summed before the shuffle, raked as a small table and joined back.
+    Each round's weights are written to the shared folder. Cells without tokens
+    have the weight 0.
     """
+    one = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+
+    def goals(table: DataFrame, d: str) -> DataFrame:
+        sums = table.groupBy(d).agg(F.pow(F.sum("tokens") / F.lit(max(one, 1.0)), F.lit(float(exponents[d]))).alias("p"))
+        norm = sums.agg(F.sum("p")).first()[0] or 1.0
+        return sums.select(d, (F.col("p") / F.lit(norm) * F.lit(one)).alias(f"goal_{d}"))
+
+    def scaled(d: str, weight: str) -> Column:
+        now = F.sum(weight).over(Window.partitionBy(d))
+        return F.when(now > 0, F.col(weight) * F.col(f"goal_{d}") / now).otherwise(0.0)
+
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    one = cells.agg(F.sum("tokens").cast("double").alias("t")).first()["t"] or 0.0
     for d in DIMENSIONS:
-        share = F.sum("tokens").over(Window.partitionBy(d)) / F.lit(one)
-        sums = cells.groupBy(d).agg((F.sum("tokens") / F.lit(one)).alias("share")).select(d, F.pow("share", F.lit(float(exponents[d]))).alias("p"))
-        norm = sums.agg(F.sum("p")).first()[0] or 1.0
-        out = out.withColumn(f"goal_{d}", F.pow(share, F.lit(float(exponents[d]))) / F.lit(norm) * F.lit(one))
-    for i in range(rounds):
-        for d in DIMENSIONS:
-            now = F.sum("weight").over(Window.partitionBy(d))
-            out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(0.0))
-        if (i + 1) % every == 0:
-            out = stored(out, "raked")
+        out = out.join(goals(cells, d), d)
+    for _ in range(rounds):
+        out = stored(out.withColumn("weight", scaled("source", "weight")), "raked")
+        sums = out.groupBy("lang", "topic").agg(F.sum("weight").alias("was"), F.first("goal_lang").alias("goal_lang"), F.first("goal_topic").alias("goal_topic")).withColumn("now", F.col("was"))
+        for d in ("lang", "topic"):
+            sums = sums.withColumn("now", scaled(d, "now"))
+        factors = sums.select("lang", "topic", F.coalesce(F.try_divide("now", "was"), F.lit(0.0)).alias("factor"))
+        out = out.join(factors, ["lang", "topic"]).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
     return out
 
 
@@ -81,13 +100,19 @@ def sampled(docs: DataFrame, *, budget: float = BUDGET, seed: str = SEED, **opti
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``, probability and copies of the documents drawn."""
-    return sampled(docs, **options).select(*[c for c in docs.columns if c not in ("probability", "copies")], "probability", "copies")
+    """The columns of ``docs``, probability and copies of the documents drawn.
+
+    Input columns named probability and copies are replaced; other names, whatever
+    they are, come back as they were.
+    """
+    known = ("doc_id", "text", "source", "lang")
+    drawn = sampled(docs.select(*known, F.struct("*").alias("row")), **options)
+    return drawn.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("probability", "copies")], "probability", "copies")
 
 
 def sql(budget: float = BUDGET, rounds: int = ROUNDS, seed: str = SEED) -> str:
     """The same as one DuckDB statement over the view documents."""
-    cue = " ".join(f"WHEN contains(x, '{c}') THEN '{t}'" for t, c in TOPICS)
+    cue = " ".join(f"WHEN regexp_matches(x, '{c}') THEN '{t}'" for t, c in TOPICS)
     steps = [
         "m AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CASE " + cue + " ELSE 'prose' END AS topic, len(regexp_extract_all(x, '[^ \\t\\n\\r]+'))::BIGINT AS tokens FROM (SELECT *, coalesce(text, '') AS x FROM documents))",
         "w0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS weight FROM m GROUP BY ALL)",
