@@ -27,9 +27,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier keeps, with their scores."""
+    """Every document with its score and whether the classifier keeps it."""
     docs = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return docs.where("keep").select("doc_id", F.round("quality_score", 6).alias("quality_score"), "keep")
+    return docs.select("doc_id", F.round("quality_score", 6).alias("quality_score"), "keep")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,12 +92,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-OP7_SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
-"""
-
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
 q AS (SELECT page_id, octet_length(encode(x))::BIGINT AS payload_bytes, sha256(x) AS payload_digest FROM p),
