@@ -98,6 +98,20 @@ def test_private_empty_table(spark):
     assert pii.redacted(docs_of(spark, [])).count() == 0
 
 
+def test_redaction_returns_columns_of_any_name(spark):
+    docs = docs_of(spark, [(1, "mail a@b.co now"), (2, "x " * 400_000 + "a@b.co")]).withColumns({"base": F.lit("b"), "spans": F.lit(3)})
+    rows = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert rows[1]["text"] == "mail <EMAIL> now" and (rows[1]["base"], rows[1]["spans"]) == ("b", 3) and rows[2]["text"].endswith(" <EMAIL>")
+
+
+def test_long_obfuscated_parts_and_digits_are_whole(spark):
+    local, number = "a" * 300, "1 " * 200 + "1"
+    texts = [f"x {local} [at] {'d' * 90} [dot] example [dot] co [dot] uk end", f"n {number} end"]
+    every = {"weights": [0.0] * pii.BUCKETS, "bias": 1.0}
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs_of(spark, list(enumerate(texts))), every).collect()}
+    assert out[0] == "x <EMAIL> end" and out[1] == "n <CARD> end"
+
+
 # 2: decontamination
 
 
@@ -115,12 +129,11 @@ def brute_hits(text, items, window=13):
     return len(w), len(hit), found
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 60])
+@pytest.mark.parametrize("block_words", [1_000_000, 60, 8])
 def test_windows_equal_brute_force(spark, block_words):
     rng = random.Random(5)
     vocabulary = ["a", "b", "c", "Ü", "e5"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 9, 12, 13, 14, 20, 40])))) for i in range(1, 40) if i % 7] + [(50, ""), (51, " . "), (2, "a b c Ü e5 e5 a")]
-    items = [(i, t) for i, t in items if len(words(t.encode())) != 1]
     texts = []
     for i in range(120):
         t = [rng.choice([*vocabulary, "unknown"]) for _ in range(rng.randrange(60))]
@@ -147,6 +160,24 @@ def test_spans_are_cut(spark):
     assert decontaminate.remove_spans(docs.limit(0), bench).count() == 0
 
 
+def test_coverage_is_exact_and_long_texts_stream(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(13))), (2, "solo")], "item_id long, text string")
+    passage = " ".join(f"q{i}" for i in range(13))
+    docs = docs_of(spark, [(1, passage + " x" * 28), (2, passage + " x" * 31), (3, "x " * 300_000 + passage), (4, "Solo"), (4, "Solo")])
+    got = {r["doc_id"]: r for r in decontaminate.judged(docs, bench, coverage=0.3).collect()}
+    assert [got[i]["contaminated"] for i in (1, 2, 3, 4)] == [True, False, False, True]
+    assert got[3]["n_hit"] == 13 and got[3]["n_words"] == 300_013 and got[4]["items"] == ["2"]
+
+
+def test_no_window_is_left_in_the_texts_that_stay(spark):
+    rng = random.Random(6)
+    items = [(i, prose(rng, 40)) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, [(i, prose(rng, 900) + " " + items[i % 5][1].upper() + ". " + prose(rng, 300)) for i in range(20)])
+    left = decontaminate.remove_spans(docs, bench)
+    assert left.count() == 20 and decontaminate.judged(left, bench).agg(F.sum("n_hit")).first()[0] == 0
+
+
 def test_long_spans_are_cut_from_documents_that_stay(spark):
     passage = " ".join(f"q{i}" for i in range(40))
     bench = spark.createDataFrame([(1, passage), (2, "Short Item")], "item_id long, text string")
@@ -169,13 +200,49 @@ def test_classifier_rejects_junk_and_learns_words(spark):
     got = quality.classify(docs_of(spark, list(enumerate(texts)) + EDGES), spark.createDataFrame(labels + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int"))
     rows = {r["doc_id"]: r["keep"] for r in got.select("doc_id", "keep").collect()}
     kept = [rows[i] for i in range(420)]
-    assert sum(kept[:300]) >= 297 and sum(kept[300:360]) <= 1 and sum(kept[360:]) <= 1
+    assert sum(kept[:300]) >= 297 and sum(kept[300:360]) <= 1 and sum(kept[360:]) <= 1  # the unlabelled third too
     assert not rows[900] and not rows[901] and got.count() == 420 + len(EDGES)
 
 
+def test_em_equals_row_by_row_em():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, k = 4000, 5
+    bad = rng.random(n) < 0.3
+    hit, false = rng.uniform(0.4, 0.8, k), rng.uniform(0.02, 0.1, k)
+    votes = np.where(rng.random((n, k)) < np.where(bad[:, None], hit, false), quality.BAD, np.where(rng.random((n, k)) < 0.5, quality.GOOD, quality.NONE))
+    marks = np.where(rng.random(n) < 0.1, np.where(bad, quality.BAD, quality.GOOD), quality.NONE)
+    patterns, marked = {}, {}
+    for v, m in zip(map(tuple, votes.tolist()), marks.tolist()):
+        patterns[v] = patterns.get(v, 0) + 1
+        marked[v, m] = marked.get((v, m), 0) + 1
+    posterior, rates = quality.em(patterns, marked, rounds=7)
+    # Every document on its own, with arrays.
+    each = n / (marks != 0).sum()
+    q, known = np.zeros(n), {c: each * (marks == c) for c in (quality.BAD, quality.GOOD)}
+    for i in range(8):
+        w = {quality.BAD: known[quality.BAD] + q * (i > 0), quality.GOOD: known[quality.GOOD] + (1 - q) * (i > 0)}
+        prior = min(0.9, max(0.01, w[quality.BAD].sum() / (w[quality.BAD].sum() + w[quality.GOOD].sum())))
+        r = {(c, v): ((w[c][:, None] * (votes == v)).sum(0) + quality.START * quality.EXPECTED[c][v]) / (w[c].sum() + quality.START) for c in w for v in (quality.BAD, quality.GOOD)}
+        p = {c: np.select([votes == quality.BAD, votes == quality.GOOD], [r[c, quality.BAD], r[c, quality.GOOD]], 1 - r[c, quality.BAD] - r[c, quality.GOOD]).prod(1) for c in w}
+        last, q = q, prior * p[quality.BAD] / (prior * p[quality.BAD] + (1 - prior) * p[quality.GOOD])
+    assert max(abs(posterior[tuple(v)] - x) for v, x in zip(votes.tolist(), last)) < 1e-9
+    assert max(abs(rates[i][quality.BAD][quality.BAD] - hit[i]) for i in range(k)) < 0.06
+    assert quality.calibrated({(1,): 0.5}, {((1,), quality.BAD): 15}) == {(1,): 17.5 / 20}
+
+
+def test_scores_keep_columns_and_ties(spark):
+    text = "the of and to in is that it was " * 5
+    docs = docs_of(spark, [(1, text), (1, text), (None, text), (2, None), (3, "the " * 200_000)]).withColumn("_keep", F.lit(7))
+    rows = quality.classify(docs, None, ("_score", "_keep")).collect()
+    assert len(rows) == 5 and {r["keep"] for r in rows} == {"k"} and len({r["_score"] for r in rows if r["text"] == text}) == 1
+    assert [r["_keep"] for r in rows if r["doc_id"] == 2] == [False]
+
+
 def test_classifier_without_labels_or_rows(spark):
-    docs = docs_of(spark, [(1, "the of and to in is that it was " * 5), (2, "### " * 50)])
-    assert {r["doc_id"]: r["keep"] for r in quality.classify(docs, None).collect()} == {1: True, 2: False}
+    docs = docs_of(spark, [*[(i, "the of and to in is that it was " * 5) for i in range(1, 9)], (9, "### " * 50), (10, "#$% & | " * 50)])
+    assert {r["doc_id"]: r["keep"] for r in quality.classify(docs, None).collect()} == {i: i < 9 for i in range(1, 11)}
     assert quality.classify(docs.limit(0), None).count() == 0
 
 
@@ -234,7 +301,27 @@ def test_anchors_do_not_depend_on_pieces(chunk, monkeypatch):
     whole = [np.concatenate(x) for x in zip(*suffix_dedup.anchors(data))]
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     for a, b in zip(whole, [np.concatenate(x) for x in zip(*suffix_dedup.anchors(data))]):
-        assert (a[whole[3]] == b[whole[3]]).all()
+        assert (a[whole[4]] == b[whole[4]]).all()
+
+
+def test_equal_identifiers_of_different_bytes_remove_nothing(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(900)) for _ in range(4)]
+    texts.append(texts[0][:500] + "".join(rng.choice("abcdef ") for _ in range(300)))
+    rows = list(enumerate(texts))
+    code = compile("def refine(a, b):\n    return a * 0 + 1\n", "x", "exec")  # every string has one identifier
+    space = {}
+    exec(code, space)
+    data = texts[0].encode()
+    ids, checks = suffix_dedup.strings(data, np.arange(0, 400), 400)
+    monkeypatch.setattr(suffix_dedup, "refine", space["refine"])
+    same, checked = suffix_dedup.strings(data, np.arange(0, 400), 400)
+    assert len(set(same.tolist())) == 1 and (checked == checks).all() and len(set(checks.tolist())) == 400 == len(set(ids.tolist()))
+    monkeypatch.undo()
+    got = {r["doc_id"]: r for r in suffix_dedup.deduplicated(docs_of(spark, rows)).collect()}
+    assert [got[i]["n_removed"] for i in range(5)] == [500, 0, 0, 0, 500] and got[0]["spans"] == "0:500" and got[1]["spans"] == ""
 
 
 # 6: mixing
@@ -255,6 +342,16 @@ def test_raking_meets_marginals(spark):
     assert abs(expected / total - mixing.BUDGET) < 0.1
     assert drawn.where("doc_id >= 900").count() == 0
     assert mixing.mixed(docs.limit(0)).count() == 0
+    assert mixing.mixed(docs.where("doc_id >= 900")).count() == 0  # rows, but no tokens
+
+
+def test_mixing_keeps_columns_and_draws_repeats_alike(spark):
+    rows = [(i % 50, "word " * (1 + i % 50) if i else "long " * 300_000, "en", "a", i, "r") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __tokens long, row string")
+    out = mixing.mixed(docs).collect()
+    assert out and {r["row"] for r in out} == {"r"} and len({r["__tokens"] for r in out}) == len(out)
+    drawn = {r["__tokens"] for r in out}
+    assert all((i in drawn) == (i + 50 in drawn) for i in range(1, 50))
 
 
 # 9: near duplicates
@@ -311,6 +408,20 @@ def test_one_document_of_each_class_stays_whatever_the_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"][:40]) for r in kept) == sorted([(1, a[:40]), (1, b[:40]), (0, c[:40])])
 
 
+def test_long_copies_are_one_class(spark):
+    rng = random.Random(12)
+    base = prose(rng, 5000).split()
+    edited = list(base)
+    for i in range(0, 5000, 250):
+        edited[i] = "edited"
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, prose(rng, 5000)), (4, "the the the " * 3000), (5, "the the the " * 3100)]
+    docs = docs_of(spark, rows).withColumns({"uid": F.lit("u"), "th": F.lit(1)})
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    kept = near_dedup.deduplicated(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4] and {(r["uid"], r["th"]) for r in kept} == {("u", 1)}
+
+
 def test_signature_estimates_weighted_jaccard():
     import numpy as np
 
