@@ -77,28 +77,36 @@ def _bucket(word: bytes, buckets: int) -> tuple[int, ...]:
     return tuple(xxhash.xxh64_intdigest(p) % buckets for p in parts)
 
 
-class _Features(dict):
-    """Word to hashed features; forgotten when it has grown to ``most`` words."""
-
-    def __init__(self, buckets: int, wanted: frozenset[int] | None = None, most: int = 500_000):
-        super().__init__()
-        self.buckets, self.wanted, self.most = buckets, wanted, most
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        found = _bucket(word, self.buckets)
-        if self.wanted is not None:
-            found = tuple(x for x in found if x in self.wanted)
-        self[word] = found
-        return found
-
-    def of(self, tokens: list[bytes]) -> set[int]:
-        out: set[int] = set()
-        for word in set(tokens):
-            if found := self[word]:
-                out.update(found)
-        return out
+class _Numbers(dict):
+    """Words, numbered in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Weights:
+    """Sums of the weights of words; words seen are remembered, up to ``most`` of them."""
+
+    def __init__(self, weights: dict[int, float], buckets: int, most: int = 500_000):
+        self.weights, self.buckets, self.most = weights, buckets, most
+        self.seen: set[bytes] = set()
+        self.heavy: set[bytes] = set()
+        self.of: dict[bytes, float] = {}
+
+    def total(self, distinct: set[bytes]) -> float | None:
+        """None if no word has a weight."""
+        fresh = distinct - self.seen
+        if len(self.seen) + len(fresh) > self.most:
+            self.seen, self.heavy, self.of, fresh = set(), set(), {}, distinct
+        for word in fresh:
+            found = [self.weights[f] for f in _bucket(word, self.buckets) if f in self.weights]
+            if found:
+                self.heavy.add(word)
+                self.of[word] = sum(found)
+        self.seen |= fresh
+        hits = distinct & self.heavy
+        return sum(self.of[w] for w in sorted(hits)) if hits else None
 
 
 def _vote_features(votes: list[int], buckets: int) -> list[int]:
@@ -106,10 +114,14 @@ def _vote_features(votes: list[int], buckets: int) -> list[int]:
     return [buckets + 3 * i + v + 1 for i, v in enumerate(votes) if v]
 
 
-def _lexicon_vote(lexicon: dict, found: set[int]) -> int:
-    weights = lexicon["weights"]
-    hits = sorted(x for x in found if x in weights)
-    return BAD if hits and lexicon["bias"] + sum(weights[x] for x in hits) > 0 else NONE
+class _Lexicon(_Weights):
+    def __init__(self, lexicon: dict, buckets: int):
+        super().__init__(lexicon["weights"], buckets)
+        self.bias = lexicon["bias"]
+
+    def vote(self, distinct: set[bytes]) -> int:
+        found = self.total(distinct) if self.weights else None
+        return BAD if found is not None and self.bias + found > 0 else NONE
 
 
 # How often a labeller is expected to vote in each class; counts as START documents of it.
@@ -155,50 +167,55 @@ def em(patterns: dict[tuple[int, ...], int], marked: dict[tuple[tuple[int, ...],
     return posterior, rates
 
 
-def _sums(rows: DataFrame, weigh, buckets: int, buffer: int = 6_000_000) -> DataFrame:
-    """f, bad, good: the documents that hold a feature, by class.
+def _sums(rows: DataFrame, judging, buckets: int, most: int = 500_000) -> DataFrame:
+    """f, bad, good: the words of documents that have a feature, by class.
 
-    ``weigh`` gives a task's function from (tokens, data, mark, features) to the
-    weight of "bad" and further features. Feature ``-1`` is held by every document.
-    Features are collected and summed by sorting, ``buffer`` of them at once.
+    ``judging`` gives a task's function from (data, tokens, distinct words, mark) to
+    the weight of "bad" and further features of the document. Feature -1 is each
+    document's own. Words are summed first, at most ``most`` at once, features from them.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, judge = _Features(buckets), weigh()
-        held: list[np.ndarray] = []
-        weights: list[float] = []
+        judge, numbers, extra = judging(), _Numbers(), {}
+        bad, n = np.zeros(1 << 12), np.zeros(1 << 12)
 
         def flush() -> pa.RecordBatch:
-            sizes = [len(x) for x in held]
-            every = np.concatenate(held) if held else np.zeros(0, np.int64)
+            found = [_bucket(word, buckets) for word in numbers]
+            sizes = np.array([len(x) for x in found], np.int64)
+            every = np.fromiter((f for x in found for f in x), np.int64, int(sizes.sum()))
+            k = len(numbers)
             order = np.argsort(every, kind="stable")
-            every, bad = every[order], np.repeat(np.array(weights), sizes)[order]
+            every, own = every[order], np.repeat(np.stack((bad[:k], n[:k] - bad[:k])), sizes, axis=1)[:, order]
             first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            bad = np.add.reduceat(bad, first) if len(first) else bad
-            n = np.diff(np.append(first, len(every)))
-            held.clear(), weights.clear()
-            return pa.RecordBatch.from_arrays([pa.array(every[first]), pa.array(bad, pa.float64()), pa.array(n - bad, pa.float64())], names=["f", "bad", "good"])
+            sums = np.add.reduceat(own, first, axis=1) if len(first) else np.zeros((2, 0))
+            more = np.array([(x[0], x[1] - x[0]) for x in extra.values()]).reshape(-1, 2).T
+            columns = np.concatenate((every[first], np.array(list(extra), np.int64))), *np.concatenate((sums, more), axis=1)
+            numbers.clear(), extra.clear()
+            bad[:], n[:] = 0, 0
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["f", "bad", "good"])
 
-        size = 0
         for batch in batches:
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 tokens = words(data)
-                found = features.of(tokens)
-                p, more = judge(data or b"", tokens, mark, found)
-                found.update(more)
-                found.add(-1)
-                held.append(np.fromiter(found, np.int64, len(found)))
-                weights.append(p)
-                size += len(found)
-                if size > buffer:
+                distinct = set(tokens)
+                p, more = judge(data or b"", tokens, distinct, mark)
+                at = np.fromiter(map(numbers.__getitem__, distinct), np.int64, len(distinct))
+                if len(numbers) > len(bad):
+                    bad, n = (np.concatenate((x, np.zeros(len(numbers)))) for x in (bad, n))
+                bad[at] += p
+                n[at] += 1
+                for f in (*more, -1):
+                    pair = extra.setdefault(f, [0.0, 0])
+                    pair[0] += p
+                    pair[1] += 1
+                if len(numbers) > most:
                     yield flush()
-                    size = 0
         yield flush()
 
     return rows.mapInArrow(summed, "f long, bad double, good double").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def calibrated(posterior: dict[tuple[int, ...], float], marked: dict[tuple[tuple[int, ...], int], int], strength: float = 5.0) -> dict[tuple[int, ...], float]:
+def calibrated(posterior: dict[tuple[int, ...], float], marked: dict[tuple[tuple[int, ...], int], int], strength: float = 1.0) -> dict[tuple[int, ...], float]:
     """Posteriors that count as ``strength`` annotated rows of their pattern beside the real ones."""
     out = {}
     for p, q in posterior.items():
@@ -224,7 +241,7 @@ def _weighted(sums: DataFrame, evidence: float, least: float, most: int) -> dict
     return {"weights": {r["f"]: r["w"] for r in kept.orderBy(F.desc("g"), "f").limit(most).collect()}, "bias": math.log(a / b)}
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_000, holdout: int = 5, buckets: int = 1 << 40, evidence: float = 30.0, max_features: int = 500_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_000, holdout: int = 5, buckets: int = 1 << 40, evidence: float = 60.0, max_features: int = 500_000) -> dict:
     """Fit the lexicon, the labellers' rates and the hashed scorer.
 
     Without annotations there is no lexicon. ``buckets``: the hashed space, so wide
@@ -244,17 +261,17 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
             "marks",
         )
         annotated = texts.join(F.broadcast(marks), "doc_id").select("text", "mark")
-        sums = stored(_sums(annotated, lambda: lambda data, tokens, mark, found: (float(mark == BAD), ()), buckets), "lexicon")
-        lexicon = _weighted(sums, 20.0, 3.0, max_features)
+        sums = stored(_sums(annotated, lambda: lambda data, tokens, distinct, mark: (float(mark == BAD), ()), buckets), "lexicon")
+        lexicon = _weighted(sums, 40.0, 4.0, max_features)
         known = texts.join(F.broadcast(marks), "doc_id", "left").select("text", F.coalesce("mark", F.lit(NONE)).alias("mark"))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counts = _Features(buckets, frozenset(sent.value["weights"])), {}
+        lexicon, counts = _Lexicon(sent.value, buckets), {}
         for batch in batches:
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 tokens = words(data)
-                p = (*vote(data or b"", tokens), _lexicon_vote(sent.value, features.of(tokens)), mark)
+                p = (*vote(data or b"", tokens), lexicon.vote(set(tokens)), mark)
                 counts[p] = counts.get(p, 0) + 1
         yield pa.RecordBatch.from_pydict({"p": pa.array([list(p) for p in counts], pa.list_(pa.int32())), "n": pa.array(list(counts.values()), pa.int64())})
 
@@ -269,14 +286,16 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
     posterior = calibrated(posterior, marked)
 
     def posteriors():
-        def judge(data: bytes, tokens: list[bytes], mark: int, found: set[int]) -> tuple[float, list[int]]:
-            votes = [*vote(data, tokens), _lexicon_vote(sent.value, found)]
+        lexicon = _Lexicon(sent.value, buckets)
+
+        def judge(data: bytes, tokens: list[bytes], distinct: set[bytes], mark: int) -> tuple[float, list[int]]:
+            votes = [*vote(data, tokens), lexicon.vote(distinct)]
             return posterior.get(tuple(votes), 0.0), _vote_features(votes, buckets)
 
         return judge
 
     sums = stored(_sums(known.select("text", "mark"), posteriors, buckets), "features")
-    return _weighted(sums, evidence, 2.0, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
+    return _weighted(sums, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
 
 
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:
@@ -290,16 +309,15 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        weights, bias, buckets, lexicon = model["weights"], model["bias"], model["buckets"], model["lexicon"]
-        features = _Features(buckets, frozenset(weights) | frozenset(lexicon["weights"]))
+        weights, buckets = model["weights"], model["buckets"]
+        lexicon, scorer = _Lexicon(model["lexicon"], buckets), _Weights(weights, buckets)
         for batch in batches:
             scores = []
             for data in utf8(batch.column(at)):
                 tokens = words(data)
-                found = features.of(tokens)
-                votes = [*vote(data or b"", tokens), _lexicon_vote(lexicon, found)]
-                found.update(_vote_features(votes, buckets))
-                against = bias + sum(weights[x] for x in sorted(found) if x in weights)
+                distinct = set(tokens)
+                votes = [*vote(data or b"", tokens), lexicon.vote(distinct)]
+                against = model["bias"] + sum(weights.get(x, 0.0) for x in _vote_features(votes, buckets)) + (scorer.total(distinct) or 0.0)
                 scores.append(-against if tokens else -20.0)
             arrays = [*batch.columns, pa.array(scores, pa.float64()), pa.array([s > 0 for s in scores])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)

@@ -229,7 +229,7 @@ def test_em_equals_row_by_row_em():
         last, q = q, prior * p[quality.BAD] / (prior * p[quality.BAD] + (1 - prior) * p[quality.GOOD])
     assert max(abs(posterior[tuple(v)] - x) for v, x in zip(votes.tolist(), last)) < 1e-9
     assert max(abs(rates[i][quality.BAD][quality.BAD] - hit[i]) for i in range(k)) < 0.06
-    assert quality.calibrated({(1,): 0.5}, {((1,), quality.BAD): 15}) == {(1,): 17.5 / 20}
+    assert quality.calibrated({(1,): 0.5}, {((1,), quality.BAD): 15}) == {(1,): 15.5 / 16}
 
 
 def test_scores_keep_columns_and_ties(spark):
