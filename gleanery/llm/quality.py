@@ -72,9 +72,17 @@ def vote(data: bytes, tokens: list[bytes]) -> list[int]:
 
 def _bucket(word: bytes, buckets: int) -> tuple[int, ...]:
     """Hashed features of a word: itself and its first 5, 6 and 7 characters."""
-    text = word.decode("utf-8", "replace")
-    parts = [word, *(b"^" + text[:k].encode() for k in _PREFIXES if len(text) >= k)]
-    return tuple(xxhash.xxh64_intdigest(p) % buckets for p in parts)
+    digest = xxhash.xxh64_intdigest
+    if word.isascii():
+        n, starts = len(word), word
+    else:
+        starts = word.decode("utf-8", "replace")
+        n = len(starts)
+    own = digest(word) % buckets
+    if n < 5:
+        return (own,)
+    cut = [starts[:k] for k in range(5, min(n, 7) + 1)]
+    return own, *[digest(x, 1) % buckets for x in cut]  # seed 1: the start of a word isn't that word
 
 
 class _Numbers(dict):
@@ -86,27 +94,29 @@ class _Numbers(dict):
 
 
 class _Weights:
-    """Sums of the weights of words; words seen are remembered, up to ``most`` of them."""
+    """Sums of the weights of words in several models; words seen are remembered, up to ``most``."""
 
-    def __init__(self, weights: dict[int, float], buckets: int, most: int = 500_000):
-        self.weights, self.buckets, self.most = weights, buckets, most
+    def __init__(self, models: list[dict[int, float]], buckets: int, most: int = 500_000):
+        self.models, self.buckets, self.most = models, buckets, most
+        self.all = frozenset().union(*models)
         self.seen: set[bytes] = set()
         self.heavy: set[bytes] = set()
-        self.of: dict[bytes, float] = {}
+        self.of: dict[bytes, list[float]] = {}
 
-    def total(self, distinct: set[bytes]) -> float | None:
-        """None if no word has a weight."""
+    def total(self, distinct: set[bytes]) -> list[float]:
+        if not self.all:
+            return [0.0] * len(self.models)
         fresh = distinct - self.seen
         if len(self.seen) + len(fresh) > self.most:
             self.seen, self.heavy, self.of, fresh = set(), set(), {}, distinct
         for word in fresh:
-            found = [self.weights[f] for f in _bucket(word, self.buckets) if f in self.weights]
-            if found:
+            found = _bucket(word, self.buckets)
+            if not self.all.isdisjoint(found):
                 self.heavy.add(word)
-                self.of[word] = sum(found)
+                self.of[word] = [sum(m.get(f, 0.0) for f in found) for m in self.models]
         self.seen |= fresh
-        hits = distinct & self.heavy
-        return sum(self.of[w] for w in sorted(hits)) if hits else None
+        hits = sorted(distinct & self.heavy)
+        return [sum(self.of[w][i] for w in hits) for i in range(len(self.models))]
 
 
 def _vote_features(votes: list[int], buckets: int) -> list[int]:
@@ -114,14 +124,9 @@ def _vote_features(votes: list[int], buckets: int) -> list[int]:
     return [buckets + 3 * i + v + 1 for i, v in enumerate(votes) if v]
 
 
-class _Lexicon(_Weights):
-    def __init__(self, lexicon: dict, buckets: int):
-        super().__init__(lexicon["weights"], buckets)
-        self.bias = lexicon["bias"]
-
-    def vote(self, distinct: set[bytes]) -> int:
-        found = self.total(distinct) if self.weights else None
-        return BAD if found is not None and self.bias + found > 0 else NONE
+def _lexicon_vote(lexicon: dict, found: float) -> int:
+    """All weights are positive, so 0 means that no word is in the lexicon."""
+    return BAD if found and lexicon["bias"] + found > 0 else NONE
 
 
 # How often a labeller is expected to vote in each class; counts as START documents of it.
@@ -267,11 +272,11 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, counts = _Lexicon(sent.value, buckets), {}
+        lexicon, counts = _Weights([sent.value["weights"]], buckets), {}
         for batch in batches:
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 tokens = words(data)
-                p = (*vote(data or b"", tokens), lexicon.vote(set(tokens)), mark)
+                p = (*vote(data or b"", tokens), _lexicon_vote(sent.value, *lexicon.total(set(tokens))), mark)
                 counts[p] = counts.get(p, 0) + 1
         yield pa.RecordBatch.from_pydict({"p": pa.array([list(p) for p in counts], pa.list_(pa.int32())), "n": pa.array(list(counts.values()), pa.int64())})
 
@@ -286,10 +291,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
     posterior = calibrated(posterior, marked)
 
     def posteriors():
-        lexicon = _Lexicon(sent.value, buckets)
+        lexicon = _Weights([sent.value["weights"]], buckets)
 
         def judge(data: bytes, tokens: list[bytes], distinct: set[bytes], mark: int) -> tuple[float, list[int]]:
-            votes = [*vote(data, tokens), lexicon.vote(distinct)]
+            votes = [*vote(data, tokens), _lexicon_vote(sent.value, *lexicon.total(distinct))]
             return posterior.get(tuple(votes), 0.0), _vote_features(votes, buckets)
 
         return judge
@@ -298,33 +303,36 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
     return _weighted(sums, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
 
 
-def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep")) -> DataFrame:
+def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep"), columns: list[str] | None = None) -> DataFrame:
     """Each document's columns, then its score (log-odds of good) and whether to keep it.
 
     ``names``: of the two columns; input columns of these names are replaced.
+    ``columns``: those of the input to return, all by default.
     """
     docs = docs.drop(*names)
-    schema = docs.select("*", F.lit(0.0).alias(names[0]), F.lit(True).alias(names[1])).schema
+    columns = columns or docs.columns
+    places = [docs.columns.index(c) for c in columns]
+    schema = docs.select(*columns, F.lit(0.0).alias(names[0]), F.lit(True).alias(names[1])).schema
     at, sent = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         weights, buckets = model["weights"], model["buckets"]
-        lexicon, scorer = _Lexicon(model["lexicon"], buckets), _Weights(weights, buckets)
+        both = _Weights([model["lexicon"]["weights"], weights], buckets)
         for batch in batches:
             scores = []
             for data in utf8(batch.column(at)):
                 tokens = words(data)
-                distinct = set(tokens)
-                votes = [*vote(data or b"", tokens), lexicon.vote(distinct)]
-                against = model["bias"] + sum(weights.get(x, 0.0) for x in _vote_features(votes, buckets)) + (scorer.total(distinct) or 0.0)
+                named, speaking = both.total(set(tokens))
+                votes = [*vote(data or b"", tokens), _lexicon_vote(model["lexicon"], named)]
+                against = model["bias"] + sum(weights.get(x, 0.0) for x in _vote_features(votes, buckets)) + speaking
                 scores.append(-against if tokens else -20.0)
-            arrays = [*batch.columns, pa.array(scores, pa.float64()), pa.array([s > 0 for s in scores])]
+            arrays = [*(batch.column(i) for i in places), pa.array(scores, pa.float64()), pa.array([s > 0 for s in scores])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(judged, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame | None, names: tuple[str, str] = ("quality_score", "keep"), **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None, names: tuple[str, str] = ("quality_score", "keep"), columns: list[str] | None = None, **options) -> DataFrame:
     """Fit on ``docs`` and ``labels`` and score every document."""
-    return score(docs, fit(docs, labels, **options), names)
+    return score(docs, fit(docs, labels, **options), names, columns)
