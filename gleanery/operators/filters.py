@@ -34,6 +34,3 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     """A page in a total order, which a top-k and not a full sort finds."""
     return df.orderBy(*order).limit(limit + offset).offset(offset) if offset else df.orderBy(*order).limit(limit)
 
-
-def any_phrase_missing(text: Column, phrases: list[str]) -> Column:
-    return reduce(Column.__or__, [~F.contains(F.lower(text), F.lit(p.lower())) for p in phrases])

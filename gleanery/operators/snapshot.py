@@ -55,12 +55,15 @@ def supersede(observed: DataFrame, batch: DataFrame, key: str, snapshot: str) ->
     return insert_absent(kept, batch.withColumns({"valid_to": F.lit(None).cast(dict(observed.dtypes)["valid_to"]), "status": F.lit("current")}), [key, snapshot])
 
 
-def digest(df: DataFrame, columns: list[str], buckets: int = 1024) -> DataFrame:
+def digest(df: DataFrame, columns: list[str], levels: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
     """One hash of a table, whatever the order of its rows.
 
-    Rows are hashed, the hashes of a bucket are joined in order, and so are the
-    buckets', so no list is longer than a bucket.
+    Rows are hashed; the hashes that begin with the same 6 digits are joined in order
+    and hashed, then those of 3, then all: with 10^12 rows no list has over 60,000.
     """
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    each = df.select(row.alias("h")).groupBy(F.substring("h", 1, len(f"{buckets - 1:x}")).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.sum("n").alias("n_rows"))
+    out = df.select(row.alias("b"), row.alias("d"), F.lit(1).cast("long").alias("n"))
+    for digits in levels:
+        lists = out.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("x"), F.sum("n").alias("n"))
+        out = lists.select("b", F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ""), 256).alias("d"), "n")
+    return out.select(F.col("d").alias("digest"), F.col("n").alias("n_rows"))

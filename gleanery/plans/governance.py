@@ -11,7 +11,6 @@ from gleanery.functions import exprs
 from gleanery.operators import reconcile, snapshot
 
 from .registry import query
-from .shapes import n_of
 
 V1 = "v1 AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 23 <> 0)"
 V2 = "v2 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 19 <> 0 THEN o_orderpriority END AS priority FROM orders WHERE o_orderkey % 17 <> 0)"
@@ -61,27 +60,28 @@ def scd2_supersede(t) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h FROM orders), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
+WITH h AS (SELECT sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS h FROM orders), a AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1),
+b AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(d, '' ORDER BY b, d)) AS d, sum(n) AS n FROM a GROUP BY 1)
 SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest, sum(n)::BIGINT AS n_rows FROM b""")
 def table_digest(t) -> DataFrame:
     return snapshot.digest(t("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 INCOMING = """
-incoming AS (SELECT o_orderkey AS ord, nullif(CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('C', o_custkey % 400) END, '') AS code, CASE WHEN o_orderkey % 31 <> 0 THEN o_orderpriority END AS title FROM orders),
+incoming AS (SELECT o_orderkey AS ord, nullif(CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('C', o_custkey) END, '') AS code, CASE WHEN o_orderkey % 31 <> 0 THEN o_orderpriority END AS title FROM orders),
 k AS (SELECT *, coalesce('provider:' || lower(code), '') AS key, code IS NULL OR title IS NULL AS bad FROM incoming),
 r AS (SELECT k.*, i.c_custkey AS by_code, s.c_custkey AS by_key, row_number() OVER (PARTITION BY bad, key ORDER BY ord) AS rn, arg_max(title, ord) OVER (PARTITION BY bad, key) AS last
-  FROM k LEFT JOIN customer i ON concat('C', i.c_custkey) = code AND i.c_custkey < 100 LEFT JOIN customer s ON concat('provider:c', s.c_custkey) = key AND s.c_custkey BETWEEN 80 AND 200),
+  FROM k LEFT JOIN customer i ON concat('C', i.c_custkey) = code AND i.c_mktsegment <> 'BUILDING' LEFT JOIN customer s ON concat('provider:c', s.c_custkey) = key AND s.c_acctbal > 0),
 o AS (SELECT ord, code, key, CASE WHEN NOT bad THEN last END AS title, CASE WHEN NOT bad THEN coalesce(coalesce(by_code, by_key)::VARCHAR, md5(key)) END AS entity_id,
   CASE WHEN bad THEN 'conflict' WHEN by_code IS NOT NULL THEN 'existing_by_identifier' WHEN by_key IS NOT NULL OR rn > 1 THEN 'existing_by_stable_key' ELSE 'created' END AS outcome FROM r)"""
 
 
 def resolved(t) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = t("orders").select(k.alias("ord"), exprs.clean(F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("C"), (F.col("o_custkey") % 400).cast("string")))).alias("code"), F.when(k % 31 != 0, F.col("o_orderpriority")).alias("title"))
+    rows = t("orders").select(k.alias("ord"), exprs.clean(F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("C"), F.col("o_custkey").cast("string")))).alias("code"), F.when(k % 31 != 0, F.col("o_orderpriority")).alias("title"))
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("provider:"), F.lower("code")), F.lit("")))
-    ids = t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code"))
-    return reconcile.resolve(rows, ids.where("id < 100"), ids.where("id between 80 and 200").select("id", F.concat(F.lit("provider:"), F.lower("code")).alias("key")))
+    ids = t("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code"), "c_mktsegment", "c_acctbal")
+    return reconcile.resolve(rows, ids.where("c_mktsegment <> 'BUILDING'"), ids.where("c_acctbal > 0").select("id", F.concat(F.lit("provider:"), F.lower("code")).alias("key")))
 
 
 @query(f"WITH {INCOMING} SELECT * FROM o")

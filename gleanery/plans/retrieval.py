@@ -17,7 +17,8 @@ SCORE = " + ".join(f"CASE WHEN list_contains({SPLIT.format(f)}, '{t}') THEN {w}
 WORDS = f"w AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, ({SCORE})::DOUBLE AS score FROM documents WHERE {MATCH} ORDER BY score DESC, doc_id LIMIT 400))"
 COSINE = "list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))))"
 VECTORS = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings),
-v AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM (SELECT vec_id, round({COSINE}, 9) AS score FROM e WHERE label % 2 = 0 ORDER BY score DESC, vec_id LIMIT 400))"""
+fresh AS (SELECT e.* FROM e JOIN (SELECT doc_id, sha256(text) AS h FROM documents) d ON doc_id = vec_id JOIN (SELECT doc_id AS id, sha256(CASE WHEN lang = 'de' AND n_chars > 2000 THEN concat(text, ' ') ELSE text END) AS made_of FROM documents) m ON id = vec_id AND made_of = h),
+v AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM (SELECT vec_id, round({COSINE}, 9) AS score FROM fresh WHERE sqrt(list_sum(list_transform(v, lambda x: x * x))) > 0 ORDER BY score DESC, vec_id LIMIT 400))"""
 
 
 def words(t) -> DataFrame:
@@ -25,9 +26,13 @@ def words(t) -> DataFrame:
 
 
 def vectors(t) -> DataFrame:
-    known = t("embeddings").where("label % 2 = 0")
+    """The nearest embeddings of current content; long German documents were edited since."""
+    d = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "n_chars")
+    current = d.select("vec_id", F.sha2("text", 256).alias("content_hash"))
+    made_of = d.select("vec_id", F.sha2(F.when((F.col("lang") == "de") & (F.col("n_chars") > 2000), F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("content_hash"))
+    known = retrieval.fresh(t("embeddings").join(made_of, "vec_id"), current, "vec_id")
     first = t("embeddings").where("vec_id = 0").select("embedding").first()  # the query's vector, one row
-    return retrieval.vector(known, first["embedding"], "vec_id", retrieval.candidates(20))
+    return retrieval.vector(known, first and first["embedding"], "vec_id", retrieval.candidates(20))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, round(score, 6) AS score, place, round(1.0 / (60 + place), 9)::DOUBLE AS fused_score FROM w WHERE place <= 20")
@@ -54,11 +59,11 @@ WITH {WORDS}, {VECTORS}
 SELECT coalesce(doc_id, vec_id) AS doc_id, w.place AS word_place, v.place AS vector_place, round(coalesce(1.0::DOUBLE / (60 + w.place), 0) + coalesce(0.55::DOUBLE / (60 + v.place), 0), 9) AS score, 'hybrid' AS mode
 FROM w FULL JOIN v ON doc_id = vec_id ORDER BY score DESC, 1 LIMIT 20""")
 def rrf_fusion(t) -> DataFrame:
-    return retrieval.hybrid(words(t), vectors(t).withColumnRenamed("vec_id", "doc_id"), "doc_id", filters.clamp(20, 20, 1, 50))
+    return retrieval.hybrid(words(t), vectors(t).withColumnRenamed("vec_id", "doc_id"), "doc_id", filters.clamp(20, 20, 1, 50), base=t("embeddings"))
 
 
 PROJECTION = """
-WITH s AS (SELECT d.doc_id, lang, source, coalesce(l.quality = 1, false) AS has_quality, coalesce(l.toxic = 1, false) AS flagged, left(text, 80) AS title, coalesce(g.enabled, false) AS gate
+WITH s AS (SELECT d.doc_id, lang, source, coalesce(l.quality = 1, false) AS has_quality, coalesce(l.toxic = 1, false) AS flagged, text AS title, coalesce(g.enabled, false) AS gate
   FROM documents d LEFT JOIN labels l USING (doc_id) JOIN (VALUES ('en', true), ('de', false), ('fr', true)) g(lang, enabled) USING (lang)),
 o AS (SELECT o_orderkey AS doc_id, string_agg(DISTINCT l_returnflag, ' ' ORDER BY l_returnflag) AS flags FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
 p AS (SELECT s.doc_id, lang, source, gate AND has_quality AS ready, flagged, coalesce(flags, '') AS flags, concat_ws(' ', title, source, coalesce(flags, '')) AS search_text, title, has_quality FROM s LEFT JOIN o USING (doc_id)),
@@ -75,8 +80,23 @@ def search_projection(t) -> DataFrame:
     gates = t("documents").sparkSession.createDataFrame([("en", True), ("de", False), ("fr", True)], "lang string, enabled boolean")
     is_one = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
     marks = t("labels").select("doc_id", is_one("quality").alias("q"), is_one("toxic").alias("x"))
-    flags = t("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), " ").alias("flags"))
-    docs = t("documents").select("doc_id", "lang", "source", F.substring("text", 1, 80).alias("title"))
+    flags = t("lineitem").join(t("documents").select(F.col("doc_id").alias("l_orderkey")), "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), " ").alias("flags"))
+    docs = t("documents").select("doc_id", "lang", "source", F.col("text").alias("title"))
     staged = docs.join(F.broadcast(gates), "lang").join(marks, "doc_id", "left").join(flags, "doc_id", "left").withColumns({"flags": F.coalesce("flags", F.lit("")), "ready": F.col("enabled") & F.coalesce("q", F.lit(False)), "flagged": F.coalesce("x", F.lit(False))})
     hashed = staged.withColumn("semantic_hash", exprs.content_hash("doc_id", "title", "source"))
     return hashed.select("doc_id", "lang", "ready", "flagged", "flags", F.concat_ws(" ", "title", "source", "flags").alias("search_text"), "semantic_hash", exprs.content_hash("semantic_hash", "ready", "flagged", "flags").alias("content_hash"))
+
+
+STEM = "concat(' ', regexp_replace(trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g')), '([a-z]{{3,}})(ing|ed|es|s)\\b', '\\1', 'g'), ' ')"
+SEARCH = '"of the" or casino was -license inge'
+HOLDS = lambda x, p: f"contains({x}, ' {p} ')"
+BONUS = lambda f, p, w: f"CASE WHEN {HOLDS(f, p)} THEN {w} * (2.0 - strpos({f}, ' {p} ')::DOUBLE / length({f})) ELSE 0.0 END"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {STEM.format("concat_ws(' . ', source, text)")} AS x, {STEM.format("source")} AS s, {STEM.format("text")} AS b FROM documents),
+m AS (SELECT doc_id, round({" + ".join(BONUS(f, p, w) for f, w in (("s", 1.0), ("b", 0.4)) for p in ("of the", "casino", "was", "inge"))}, 6) AS score FROM d WHERE ({HOLDS("x", "of the")} OR {HOLDS("x", "casino")}) AND {HOLDS("x", "was")} AND NOT {HOLDS("x", "license")} AND {HOLDS("x", "inge")})
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM m ORDER BY score DESC, doc_id LIMIT 20""")
+def web_search(t) -> DataFrame:
+    """A query with a phrase, or, minus and stems, ranked by weights and places."""
+    return retrieval.web_search(t("documents"), {"source": 1.0, "text": 0.4}, SEARCH, "doc_id", 20)

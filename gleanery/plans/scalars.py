@@ -78,10 +78,10 @@ def level_classifier(t) -> DataFrame:
     return t("part").groupBy("p_type").agg(F.count("*").alias("n")).withColumn("level", exprs.level(F.col("p_type")))
 
 
-@query(f"""
-SELECT doc_id, trim(regexp_replace(translate(lower(replace(x, '&', ' and ')), '{exprs.ACCENTS}', '{exprs.PLAIN}'), '[^a-z0-9]+', ' ', 'g')) AS label FROM (SELECT doc_id, concat(substr(text, 1, 60), ' & Co.') AS x FROM documents)""")
+@query("""
+SELECT doc_id, trim(regexp_replace(strip_accents(lower(replace(concat(text, ' & Co.'), '&', ' and '))), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents""")
 def normalise_label(t) -> DataFrame:
-    return t("documents").select("doc_id", exprs.label(F.concat(F.substring("text", 1, 60), F.lit(" & Co."))).alias("label"))
+    return t("documents").select("doc_id", exprs.label(F.concat("text", F.lit(" & Co."))).alias("label"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, json_exists(props, '$.k') AS has_k, json_exists(props, '$.z') AS has_z FROM events")

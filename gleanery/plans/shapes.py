@@ -148,8 +148,13 @@ SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey
 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def distinct_counts(t) -> DataFrame:
     buyers = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    lines = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.countDistinct("o_orderkey").alias("orders"), F.countDistinct("l_partkey").alias("parts"))
+    orders = t("orders").select("o_orderkey", "o_custkey").join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "n_name")
+    lines = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    # Distinct keys are made before they are counted; no row is expanded for each count.
+    kept = orders.join(lines.select("o_orderkey").distinct(), "o_orderkey", "left_semi").distinct()
+    by_customer = kept.groupBy("n_name", "c_custkey").agg(F.count("*").alias("orders")).groupBy("n_name").agg(F.count("*").alias("customers"), F.sum("orders").alias("orders"))
+    parts = lines.join(orders, "o_orderkey").select("n_name", "l_partkey").distinct().groupBy("n_name").agg(F.count("*").alias("parts"))
+    return by_customer.join(parts, "n_name")
 
 
 @query("""
@@ -184,9 +189,10 @@ def duplicate_groups(t) -> DataFrame:
     return t("lineitem").groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("SELECT substr(p_name, 1, 6) AS code, count(DISTINCT p_brand) AS titles, min(p_brand) AS first_title FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+@query("SELECT upper(trim(p_name)) AS code, count(DISTINCT p_brand) AS titles, min(p_brand) AS first_title FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def key_conflicts(t) -> DataFrame:
-    return t("part").groupBy(F.substring("p_name", 1, 6).alias("code")).agg(F.countDistinct("p_brand").alias("titles"), F.min("p_brand").alias("first_title")).where("titles > 1")
+    pairs = t("part").select(F.upper(F.trim("p_name")).alias("code"), "p_brand").distinct()
+    return pairs.groupBy("code").agg(F.count("p_brand").alias("titles"), F.min("p_brand").alias("first_title")).where("titles > 1")
 
 
 @query("SELECT 'segment' AS facet, c_mktsegment AS code, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'brand', p_brand, count(*) FROM part GROUP BY ALL UNION ALL SELECT 'status', o_orderstatus, count(*) FROM orders GROUP BY ALL")

@@ -21,7 +21,10 @@ def header(name: str) -> str:
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """RFC 4180 records as texts, headers normalised, blank rows dropped."""
+    """RFC 4180 records as texts, headers normalised, blank rows dropped.
+
+    As a quoted value may hold line ends, one task reads a file; give many files.
+    """
     df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     df = df.toDF(*[header(c) for c in df.columns])
     filled = [F.coalesce(F.trim(c), F.lit("")) != "" for c in df.columns]
@@ -112,12 +115,16 @@ def xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, sheet string, row long, cells array<string>")
 
 
-def header_row(rows: DataFrame, weights: dict[str, int], first: int = 30) -> DataFrame:
-    """file, sheet and row of the best header: cell patterns score, the best sheet wins."""
+def header_row(rows: DataFrame, weights: dict[str, int], first: int | None = None) -> DataFrame:
+    """file, sheet and row of the best header: cell patterns score, the best sheet wins.
+
+    ``first``: look at so many rows of a sheet only.
+    """
     cell = lambda p: F.exists("cells", lambda x: F.regexp_like(F.coalesce(x, F.lit("")), F.lit(f"(?i){p}"))).cast("int")
     score = sum((cell(p) * w for p, w in weights.items()), F.lit(0))
     w = Window.partitionBy("file").orderBy(F.desc("score"), "sheet", "row")
-    return rows.where(F.col("row") <= first).withColumn("score", score).withColumn("r", F.row_number().over(w)).where("r = 1 and score > 0").select("file", "sheet", "row", "score")
+    seen = rows if first is None else rows.where(F.col("row") <= first)
+    return seen.withColumn("score", score).withColumn("r", F.row_number().over(w)).where("r = 1 and score > 0").select("file", "sheet", "row", "score")
 
 
 def html_rows(html: Column) -> Column:

@@ -125,3 +125,57 @@ def test_identities_are_resolved_without_a_window(spark):
     assert got[3] == got[4] == ("b", "existing_by_identifier") and got[5] == ("c", "existing_by_stable_key")
     assert got[6] == ("e", "created") and got[7] == ("e", "existing_by_stable_key")
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zero_vectors_and_missing_queries_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    assert [r["id"] for r in retrieval.vector(vectors, [2.0, 0.0], "id", 10).orderBy("place").collect()] == [1, 4]
+    assert retrieval.vector(vectors, None, "id", 10).count() == 0 and retrieval.vector(vectors, [0.0, 0.0], "id", 10).count() == 0
+
+
+def test_search_box_language(spark):
+    assert retrieval.asked('data "machine learning" or robots -sales the') == ([["data"], ["machine learn", "robot"]], ["sale"])
+    docs = spark.createDataFrame([(1, "Learning data, machine Learning!"), (2, "robots and data"), (3, "data of robot sales"), (4, "machine data learning"), (5, None)], "id long, t string")
+    found = retrieval.web_search(docs, {"t": 1.0}, 'data "machine learning" or robots -sales', "id", 10)
+    assert sorted(r["id"] for r in found.collect()) == [1, 2] and retrieval.web_search(docs, {"t": 1.0}, "", "id", 10).count() == 5
+
+
+def test_batches_apply_whole_or_not_at_all(spark):
+    from gleanery.operators import apply, pages
+
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "k long, v long")
+    checked = apply.checked(rows, {"there": F.col("v").isNotNull(), "positive": F.col("v") > 0})
+    assert {r["k"]: r["errors"] for r in checked.collect()} == {1: [], 2: ["there", "positive"], 3: ["positive"]}
+    assert apply.accepted(checked).count() == 0 and apply.accepted(checked.where("k = 1")).columns == ["k", "v"]
+    old = rows.select("k", F.col("v").cast("string").alias("content_hash"), F.lit(3).alias("generation"))
+    new = old.select("k", "content_hash").where("k < 3")
+    once = apply.projection_sync(old, new, "k", 4)
+    assert {r["k"]: r["generation"] for r in once.collect()} == {1: 3, 2: 3} and sorted(once.collect()) == sorted(apply.projection_sync(once, new, "k", 5).select(once.columns).collect())
+    assert pages.progress(191, 150, 50, 50) == {"next_offset": 191, "has_more": False, "percent": 100}
+    assert pages.progress(191, 100, 50, 50) == {"next_offset": 150, "has_more": True, "percent": 79}
+
+
+def test_staging_and_verified_blobs(spark, tmp_path):
+    import hashlib
+
+    records = spark.createDataFrame([("s", "r1", "a"), ("s", "r1", "a"), ("s", "r2", "b")], "source string, record string, body string")
+    first = sinks.stage(records.limit(0).withColumn("content_hash", F.lit("")), records, "source", "record", ["body"])
+    assert first.count() == 2 and sinks.stage(first, records, "source", "record", ["body"]).count() == 2
+    for name, data in (("a", b"one"), ("b", b"two")):
+        (tmp_path / name).write_bytes(data)
+    hashes = spark.createDataFrame([(hashlib.sha256(b"two").hexdigest(),)], "sha256 string")
+    assert [bytes(r["content"]) for r in readers.verified(spark, str(tmp_path), hashes).collect()] == [b"two"]
+
+
+def test_rows_come_once_through_a_stream(spark, tmp_path):
+    rows = spark.sql("select id % 5 as k, timestamp'2024-01-01 00:00:00' as ts from range(20)")
+    rows.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = jobs.once(jobs.incremental(spark, str(tmp_path / "in"), rows.schema, 1), "k")
+    stream.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.table("once").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_folded_labels(spark):
+    row = spark.range(1).select(exprs.label(F.lit("Ünï & Ångström Ñandú ẫ e\u0301")).alias("x"), exprs.alias_forms(F.lit("The Acme (City) Pty Ltd Australia")).alias("f")).first()
+    assert row["x"] == "uni and angstrom nandu a e" and "acme" in row["f"] and "the acme city pty ltd australia" in row["f"]
