@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,9 +51,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
-    """The texts of an Arrow column as UTF-8 bytes, nulls as None."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def utf8(column: pa.Array, rows: int = 512) -> Iterator[bytes | None]:
+    """The texts of an Arrow column as UTF-8 bytes, nulls as None; copied ``rows`` at once."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).cast(kind).to_pylist()
 
 
 def free(columns: list[str], name: str) -> str:

@@ -96,7 +96,7 @@ class _Numbers(dict):
 class _Weights:
     """Sums of the weights of words in several models; words seen are remembered, up to ``most``."""
 
-    def __init__(self, models: list[dict[int, float]], buckets: int, most: int = 500_000):
+    def __init__(self, models: list[dict[int, float]], buckets: int, most: int = 250_000):
         self.models, self.buckets, self.most = models, buckets, most
         self.all = frozenset().union(*models)
         self.seen: set[bytes] = set()
@@ -172,7 +172,7 @@ def em(patterns: dict[tuple[int, ...], int], marked: dict[tuple[tuple[int, ...],
     return posterior, rates
 
 
-def _sums(rows: DataFrame, judging, buckets: int, most: int = 500_000) -> DataFrame:
+def _sums(rows: DataFrame, judging, buckets: int, most: int = 200_000) -> DataFrame:
     """f, bad, good: the words of documents that have a feature, by class.
 
     ``judging`` gives a task's function from (data, tokens, distinct words, mark) to
@@ -184,20 +184,21 @@ def _sums(rows: DataFrame, judging, buckets: int, most: int = 500_000) -> DataFr
         judge, numbers, extra = judging(), _Numbers(), {}
         bad, n = np.zeros(1 << 12), np.zeros(1 << 12)
 
-        def flush() -> pa.RecordBatch:
-            found = [_bucket(word, buckets) for word in numbers]
-            sizes = np.array([len(x) for x in found], np.int64)
-            every = np.fromiter((f for x in found for f in x), np.int64, int(sizes.sum()))
-            k = len(numbers)
-            order = np.argsort(every, kind="stable")
-            every, own = every[order], np.repeat(np.stack((bad[:k], n[:k] - bad[:k])), sizes, axis=1)[:, order]
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(own, first, axis=1) if len(first) else np.zeros((2, 0))
+        def flush(some: int = 40_000) -> Iterator[pa.RecordBatch]:
+            listed, k = list(numbers), len(numbers)
+            for low in range(0, k, some):
+                found = [_bucket(word, buckets) for word in listed[low : low + some]]
+                sizes = np.array([len(x) for x in found], np.int64)
+                every = np.fromiter((f for x in found for f in x), np.int64, int(sizes.sum()))
+                order, at = np.argsort(every, kind="stable"), slice(low, min(k, low + some))
+                every, own = every[order], np.repeat(np.stack((bad[at], n[at] - bad[at])), sizes, axis=1)[:, order]
+                first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+                sums = np.add.reduceat(own, first, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (every[first], *sums)], names=["f", "bad", "good"])
             more = np.array([(x[0], x[1] - x[0]) for x in extra.values()]).reshape(-1, 2).T
-            columns = np.concatenate((every[first], np.array(list(extra), np.int64))), *np.concatenate((sums, more), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(extra), pa.int64()), pa.array(more[0]), pa.array(more[1])], names=["f", "bad", "good"])
             numbers.clear(), extra.clear()
             bad[:], n[:] = 0, 0
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["f", "bad", "good"])
 
         for batch in batches:
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
@@ -214,8 +215,8 @@ def _sums(rows: DataFrame, judging, buckets: int, most: int = 500_000) -> DataFr
                     pair[0] += p
                     pair[1] += 1
                 if len(numbers) > most:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     return rows.mapInArrow(summed, "f long, bad double, good double").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
