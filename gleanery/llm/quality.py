@@ -176,8 +176,8 @@ def _sums(rows: DataFrame, judging, buckets: int, most: int = 200_000) -> DataFr
     """f, bad, good: the words of documents that have a feature, by class.
 
     ``judging`` gives a task's function from (data, tokens, distinct words, mark) to
-    the weight of "bad" and further features of the document. Feature -1 is each
-    document's own. Words are summed first, at most ``most`` at once, features from them.
+    the weight of "bad" and further features of the document. Words are summed first,
+    at most ``most`` at once, features from them.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _sums(rows: DataFrame, judging, buckets: int, most: int = 200_000) -> DataFr
                     bad, n = (np.concatenate((x, np.zeros(len(numbers)))) for x in (bad, n))
                 bad[at] += p
                 n[at] += 1
-                for f in (*more, -1):
+                for f in more:
                     pair = extra.setdefault(f, [0.0, 0])
                     pair[0] += p
                     pair[1] += 1
@@ -230,20 +230,19 @@ def calibrated(posterior: dict[tuple[int, ...], float], marked: dict[tuple[tuple
     return out
 
 
-def _weighted(sums: DataFrame, evidence: float, least: float, most: int) -> dict:
-    """Log-odds of the features that speak against a document, and the bias.
+def _weighted(sums: DataFrame, bad: float, good: float, evidence: float, least: float, most: int) -> dict:
+    """Log-odds of the features that speak against a document, and the bias, of ``bad`` and ``good`` documents.
 
     A feature counts from a likelihood ratio (G-squared) of ``evidence`` and log-odds
     of ``least`` on, so only if it is rare among good documents; of more than ``most`` those with the largest
     ratio make the model.
     """
-    total = (sums.where("f = -1").collect() or [None])[0]
-    if total is None:
+    if bad + good == 0:
         return {"weights": {}, "bias": -1.0}
-    a, b = total["bad"] + 1.0, total["good"] + 1.0
+    a, b = bad + 1.0, good + 1.0
     lr, share = F.log((F.col("bad") + 0.5) / a) - F.log((F.col("good") + 0.5) / b), F.col("bad") + F.col("good")
     g2 = 2 * (F.col("bad") * F.log((F.col("bad") + 1e-9) / (share * a / (a + b))) + F.col("good") * F.log((F.col("good") + 1e-9) / (share * b / (a + b))))
-    kept = sums.where("f >= 0").select("f", lr.alias("w"), g2.alias("g")).where((F.col("g") > evidence) & (F.col("w") > least))
+    kept = sums.select("f", lr.alias("w"), g2.alias("g")).where((F.col("g") > evidence) & (F.col("w") > least))
     return {"weights": {r["f"]: r["w"] for r in kept.orderBy(F.desc("g"), "f").limit(most).collect()}, "bias": math.log(a / b)}
 
 
@@ -267,8 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
             "marks",
         )
         annotated = texts.join(F.broadcast(marks), "doc_id").select("text", "mark")
-        sums = stored(_sums(annotated, lambda: lambda data, tokens, distinct, mark: (float(mark == BAD), ()), buckets), "lexicon")
-        lexicon = _weighted(sums, 40.0, 4.0, max_features)
+        found = dict(docs.select("doc_id").join(F.broadcast(marks), "doc_id").groupBy("mark").agg(F.count("*")).collect())  # two rows
+        sums = _sums(annotated, lambda: lambda data, tokens, distinct, mark: (float(mark == BAD), ()), buckets)
+        lexicon = _weighted(sums, found.get(BAD, 0), found.get(GOOD, 0), 40.0, 4.0, max_features)
         known = texts.join(F.broadcast(marks), "doc_id", "left").select("text", F.coalesce("mark", F.lit(NONE)).alias("mark"))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -300,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
 
         return judge
 
-    sums = stored(_sums(known.select("text", "mark"), posteriors, buckets), "features")
-    return _weighted(sums, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
+    bad = sum(n * posterior[p] for p, n in patterns.items())
+    return _weighted(_sums(known.select("text", "mark"), posteriors, buckets), bad, sum(patterns.values()) - bad, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
 
 
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep"), columns: list[str] | None = None) -> DataFrame:
