@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 120_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import operator
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,17 +87,35 @@ def _bucket(word: bytes, buckets: int) -> tuple[int, ...]:
 
 
 class _Numbers(dict):
-    """Words, numbered in the order in which they are asked for."""
+    """Words, numbered in the order in which they are asked for, with their features.
+
+    ``heavy`` has the weights of those words that have one in ``weights``.
+    """
+
+    def __init__(self, buckets: int, weights: dict[int, float]):
+        super().__init__()
+        self.buckets, self.weights = buckets, weights
+        self.features, self.sizes = array("q"), array("b")
+        self.heavy: dict[bytes, float] = {}
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        found = _bucket(word, self.buckets)
+        self.features.extend(found)
+        self.sizes.append(len(found))
+        if total := sum(self.weights.get(f, 0.0) for f in found) if self.weights else 0.0:
+            self.heavy[word] = total
         return n
 
+    def clear(self) -> None:
+        super().clear()
+        self.features, self.sizes, self.heavy = array("q"), array("b"), {}
+
 
 class _Weights:
     """Sums of the weights of words in several models; words seen are remembered, up to ``most``."""
 
-    def __init__(self, models: list[dict[int, float]], buckets: int, most: int = 250_000):
+    def __init__(self, models: list[dict[int, float]], buckets: int, most: int = 120_000):
         self.models, self.buckets, self.most = models, buckets, most
         self.all = frozenset().union(*models)
         self.seen: set[bytes] = set()
@@ -172,24 +191,24 @@ def em(patterns: dict[tuple[int, ...], int], marked: dict[tuple[tuple[int, ...],
     return posterior, rates
 
 
-def _sums(rows: DataFrame, judging, buckets: int, most: int = 200_000) -> DataFrame:
+def _sums(rows: DataFrame, judge, buckets: int, weights: dict[int, float], most: int = 120_000) -> DataFrame:
     """f, bad, good: the words of documents that have a feature, by class.
 
-    ``judging`` gives a task's function from (data, tokens, distinct words, mark) to
-    the weight of "bad" and further features of the document. Words are summed first,
-    at most ``most`` at once, features from them.
+    ``judge`` goes from (data, tokens, sum of ``weights``, mark) to the weight of "bad"
+    and further features of the document. Words are summed first, at most ``most`` at
+    once, features from them.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, numbers, extra = judging(), _Numbers(), {}
+        numbers, extra = _Numbers(buckets, weights), {}
         bad, n = np.zeros(1 << 12), np.zeros(1 << 12)
 
         def flush(some: int = 40_000) -> Iterator[pa.RecordBatch]:
-            listed, k = list(numbers), len(numbers)
+            k, ends = len(numbers), np.concatenate(([0], np.cumsum(np.array(numbers.sizes, np.int64))))
+            features = np.array(numbers.features, np.int64)
             for low in range(0, k, some):
-                found = [_bucket(word, buckets) for word in listed[low : low + some]]
-                sizes = np.array([len(x) for x in found], np.int64)
-                every = np.fromiter((f for x in found for f in x), np.int64, int(sizes.sum()))
+                sizes = np.diff(ends[low : low + some + 1])
+                every = features[ends[low] : ends[min(k, low + some)]]
                 order, at = np.argsort(every, kind="stable"), slice(low, min(k, low + some))
                 every, own = every[order], np.repeat(np.stack((bad[at], n[at] - bad[at])), sizes, axis=1)[:, order]
                 first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
@@ -204,8 +223,9 @@ def _sums(rows: DataFrame, judging, buckets: int, most: int = 200_000) -> DataFr
             for data, mark in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 tokens = words(data)
                 distinct = set(tokens)
-                p, more = judge(data or b"", tokens, distinct, mark)
                 at = np.fromiter(map(numbers.__getitem__, distinct), np.int64, len(distinct))
+                named = sum(numbers.heavy[w] for w in sorted(distinct & numbers.heavy.keys())) if numbers.heavy else 0.0
+                p, more = judge(data or b"", tokens, named, mark)
                 if len(numbers) > len(bad):
                     bad, n = (np.concatenate((x, np.zeros(len(numbers)))) for x in (bad, n))
                 bad[at] += p
@@ -267,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
         )
         annotated = texts.join(F.broadcast(marks), "doc_id").select("text", "mark")
         found = dict(docs.select("doc_id").join(F.broadcast(marks), "doc_id").groupBy("mark").agg(F.count("*")).collect())  # two rows
-        sums = _sums(annotated, lambda: lambda data, tokens, distinct, mark: (float(mark == BAD), ()), buckets)
+        sums = _sums(annotated, lambda data, tokens, named, mark: (float(mark == BAD), ()), buckets, {})
         lexicon = _weighted(sums, found.get(BAD, 0), found.get(GOOD, 0), 40.0, 4.0, max_features)
         known = texts.join(F.broadcast(marks), "doc_id", "left").select("text", F.coalesce("mark", F.lit(NONE)).alias("mark"))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -291,17 +311,12 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
     posterior, rates = em(patterns, marked)
     posterior = calibrated(posterior, marked)
 
-    def posteriors():
-        lexicon = _Weights([sent.value["weights"]], buckets)
-
-        def judge(data: bytes, tokens: list[bytes], distinct: set[bytes], mark: int) -> tuple[float, list[int]]:
-            votes = [*vote(data, tokens), _lexicon_vote(sent.value, *lexicon.total(distinct))]
-            return posterior.get(tuple(votes), 0.0), _vote_features(votes, buckets)
-
-        return judge
+    def judge(data: bytes, tokens: list[bytes], named: float, mark: int) -> tuple[float, list[int]]:
+        votes = [*vote(data, tokens), _lexicon_vote(lexicon, named)]
+        return posterior.get(tuple(votes), 0.0), _vote_features(votes, buckets)
 
     bad = sum(n * posterior[p] for p, n in patterns.items())
-    return _weighted(_sums(known.select("text", "mark"), posteriors, buckets), bad, sum(patterns.values()) - bad, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
+    return _weighted(_sums(known.select("text", "mark"), judge, buckets, lexicon["weights"]), bad, sum(patterns.values()) - bad, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
 
 
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep"), columns: list[str] | None = None) -> DataFrame:
