@@ -52,10 +52,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def utf8(column: pa.Array, rows: int = 512) -> Iterator[bytes | None]:
-    """The texts of an Arrow column as UTF-8 bytes, nulls as None; copied ``rows`` at once."""
+    """The texts of an Arrow column as UTF-8 bytes, nulls as None; copied ``rows`` at once.
+
+    What Arrow holds of batches before is given back to the system: a worker lives
+    longer than its task and would keep it.
+    """
+    pa.default_memory_pool().release_unused()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     for start in range(0, len(column), rows):
         yield from column.slice(start, rows).cast(kind).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def free(columns: list[str], name: str) -> str:
