@@ -19,6 +19,9 @@ FOLD = bytes(
 )
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def words(data: bytes | None) -> list[bytes]:
     """Lower-cased words of a UTF-8 text; none for null."""
     return data.translate(FOLD).split() if data else []
@@ -30,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset and Spark runs on one machine, as in tests, a temporary
     folder is set once for the session and used from then on. On a cluster it must
     be set: executors don't see the driver's own folders.
+
+    Texts are long, so Arrow batches of 10,000 rows, Spark's default, would be large in
+    the JVM and in Python: where that default is in force, 1,000 rows are set.
     """
+    if spark.conf.get(BATCH, None) == "10000":
+        spark.conf.set(BATCH, "1000")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":

@@ -62,7 +62,7 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     class Session:
         sparkContext = Context
-        conf = {"x": 1}
+        conf = {}
 
     with pytest.raises(ValueError):
         common.shared_dir(Session)
