@@ -250,19 +250,19 @@ def calibrated(posterior: dict[tuple[int, ...], float], marked: dict[tuple[tuple
     return out
 
 
-def _weighted(sums: DataFrame, bad: float, good: float, evidence: float, least: float, most: int) -> dict:
+def _weighted(sums: DataFrame, bad: float, good: float, evidence: float, least: float, most: int, buckets: int) -> dict:
     """Log-odds of the features that speak against a document, and the bias, of ``bad`` and ``good`` documents.
 
     A feature counts from a likelihood ratio (G-squared) of ``evidence`` and log-odds
     of ``least`` on, so only if it is rare among good documents; of more than ``most`` those with the largest
-    ratio make the model.
+    ratio make the model. Votes, from ``buckets`` on, are few: for them a ratio of 10 does.
     """
     if bad + good == 0:
         return {"weights": {}, "bias": -1.0}
     a, b = bad + 1.0, good + 1.0
     lr, share = F.log((F.col("bad") + 0.5) / a) - F.log((F.col("good") + 0.5) / b), F.col("bad") + F.col("good")
     g2 = 2 * (F.col("bad") * F.log((F.col("bad") + 1e-9) / (share * a / (a + b))) + F.col("good") * F.log((F.col("good") + 1e-9) / (share * b / (a + b))))
-    kept = sums.select("f", lr.alias("w"), g2.alias("g")).where((F.col("g") > evidence) & (F.col("w") > least))
+    kept = sums.select("f", lr.alias("w"), g2.alias("g")).where(((F.col("g") > evidence) | ((F.col("f") >= buckets) & (F.col("g") > 10))) & (F.col("w") > least))
     return {"weights": {r["f"]: r["w"] for r in kept.orderBy(F.desc("g"), "f").limit(most).collect()}, "bias": math.log(a / b)}
 
 
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
         annotated = texts.join(F.broadcast(marks), "doc_id").select("text", "mark")
         found = dict(docs.select("doc_id").join(F.broadcast(marks), "doc_id").groupBy("mark").agg(F.count("*")).collect())  # two rows
         sums = _sums(annotated, lambda data, tokens, named, mark: (float(mark == BAD), ()), buckets, {})
-        lexicon = _weighted(sums, found.get(BAD, 0), found.get(GOOD, 0), 40.0, 4.0, max_features)
+        lexicon = _weighted(sums, found.get(BAD, 0), found.get(GOOD, 0), 40.0, 4.0, max_features, buckets)
         known = texts.join(F.broadcast(marks), "doc_id", "left").select("text", F.coalesce("mark", F.lit(NONE)).alias("mark"))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -316,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
         return posterior.get(tuple(votes), 0.0), _vote_features(votes, buckets)
 
     bad = sum(n * posterior[p] for p, n in patterns.items())
-    return _weighted(_sums(known.select("text", "mark"), judge, buckets, lexicon["weights"]), bad, sum(patterns.values()) - bad, evidence, 3.5, max_features) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
+    return _weighted(_sums(known.select("text", "mark"), judge, buckets, lexicon["weights"]), bad, sum(patterns.values()) - bad, evidence, 3.5, max_features, buckets) | {"lexicon": lexicon, "rates": dict(zip(LABELLERS, rates)), "buckets": buckets}
 
 
 def score(docs: DataFrame, model: dict, names: tuple[str, str] = ("quality_score", "keep"), columns: list[str] | None = None) -> DataFrame:
