@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.session import table  # noqa: F401
@@ -19,9 +21,6 @@ FOLD = bytes(
 )
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def words(data: bytes | None) -> list[bytes]:
     """Lower-cased words of a UTF-8 text; none for null."""
     return data.translate(FOLD).split() if data else []
@@ -33,12 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset and Spark runs on one machine, as in tests, a temporary
     folder is set once for the session and used from then on. On a cluster it must
     be set: executors don't see the driver's own folders.
-
-    Texts are long, so Arrow batches of 10,000 rows, Spark's default, would be large in
-    the JVM and in Python: where that default is in force, 1,000 rows are set.
     """
-    if spark.conf.get(BATCH, None) == "10000":
-        spark.conf.set(BATCH, "1000")
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -72,6 +66,18 @@ def utf8(column: pa.Array, rows: int = 512) -> Iterator[bytes | None]:
     pa.default_memory_pool().release_unused()
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int, bytes_each: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts (column ``text``) have about ``bytes_each`` bytes, or one row."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < len(size):
+            stop = int(np.searchsorted(size, (size[start - 1] if start else 0) + bytes_each, side="right"))
+            stop = max(stop, start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def free(columns: list[str], name: str) -> str:
     """``name``, or with underscores before it one that no column has."""
     taken = {c.lower() for c in columns}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mixing, near_dedup, pii, quality, suffix_dedup, url_filter, warc
+from . import ann, chat, decontaminate, mixing, near_dedup, periodic, pii, quality, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -68,8 +68,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.find(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=periodic.repeating)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # Of two runs the first is greater if its length times the other's period is.
+    greater = lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    docs = docs.withColumn("top", F.aggregate("runs", none, greater))
+    return docs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("top")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_decontaminate, op3_url_filter, op4_quality, op5_suffix_dedup, op6_mixing, op7_ann, op8_warc, op9_near_dedup, op10_chat)
+    ops = (op1_pii, op2_decontaminate, op3_url_filter, op4_quality, op5_suffix_dedup, op6_mixing, op7_ann, op8_warc, op9_near_dedup, op10_chat, op11_periodic_runs)
     return {f.__name__: f for f in ops}
 
 
