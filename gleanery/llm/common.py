@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.session import table  # noqa: F401
 
@@ -84,3 +86,24 @@ def free(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def quantiles(df: DataFrame, key: str, parts: int) -> np.ndarray:
+    """Values of a numeric column that cut its rows into about ``parts`` equal parts, ascending.
+
+    A sketch of bounded size; nulls don't count, and without values there are no cuts.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.agg(F.percentile_approx(key, shares, 20 * parts).alias("cuts")).first()["cuts"] if shares else None
+    return np.unique(np.array(cuts or [], np.int64))
+
+
+def part_of(cuts: np.ndarray, key: Column) -> Column:
+    """The number of cuts at or below a value: rows of equal values share a part; null is part -1."""
+
+    @F.pandas_udf("int")
+    def place(values: pd.Series) -> pd.Series:
+        found = np.searchsorted(cuts, values.fillna(0).to_numpy(np.int64), side="right")
+        return pd.Series(np.where(values.isna(), -1, found).astype(np.int32))
+
+    return place(key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, mixing, near_dedup, periodic, pii, quality, suffix_dedup, url_filter, warc
+from . import ann, chat, decontaminate, edit_sketch, mixing, near_dedup, periodic, pii, quality, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -85,8 +85,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("fingerprint", edit_sketch.fingerprint("text"))
+    ranges = min(16_384, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = edit_sketch.in_order(docs, "doc_id", ranges)
+    pairs = pairs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("following"), edit_sketch.spliced(F.col("text"), F.col("next.text")).alias("edited"))
+    pairs = pairs.withColumn("edited_fingerprint", edit_sketch.fingerprint("edited"))
+    return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", edit_sketch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), edit_sketch.likeness("fingerprint", "following").alias("near_next"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_decontaminate, op3_url_filter, op4_quality, op5_suffix_dedup, op6_mixing, op7_ann, op8_warc, op9_near_dedup, op10_chat, op11_periodic_runs)
+    ops = (op1_pii, op2_decontaminate, op3_url_filter, op4_quality, op5_suffix_dedup, op6_mixing, op7_ann, op8_warc, op9_near_dedup, op10_chat, op11_periodic_runs, op12_edit_fingerprints)
     return {f.__name__: f for f in ops}
 
 
