@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, edit_sketch, mixing, near_dedup, periodic, pii, quality, suffix_dedup, url_filter, warc
+from . import ann, chat, decontaminate, edit_sketch, mixing, near_dedup, periodic, pii, quality, resample, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -95,8 +95,13 @@ def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", edit_sketch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), edit_sketch.likeness("fingerprint", "following").alias("near_next"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resampled(docs, table(spark, sf_dir, "benchmark"), parts=min(16_384, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii, op2_decontaminate, op3_url_filter, op4_quality, op5_suffix_dedup, op6_mixing, op7_ann, op8_warc, op9_near_dedup, op10_chat, op11_periodic_runs, op12_edit_fingerprints)
+    ops = (op1_pii, op2_decontaminate, op3_url_filter, op4_quality, op5_suffix_dedup, op6_mixing, op7_ann, op8_warc, op9_near_dedup, op10_chat, op11_periodic_runs, op12_edit_fingerprints, op13_resample)
     return {f.__name__: f for f in ops}
 
 
@@ -128,5 +133,26 @@ FROM q LEFT JOIN f USING (payload_digest)
 """
 
 
+#: The checksums of single bytes, and of words from those: each byte is looked up with the lowest byte so far.
+OP13_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({FOLDED}, '{WORD}') AS w FROM documents),
+dw AS MATERIALIZED (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all({FOLDED}, '{WORD}')) AS w FROM benchmark) GROUP BY ALL),
+vocabulary AS (SELECT w FROM dw UNION SELECT w FROM bw),
+hashed AS MATERIALIZED (SELECT w, xor(list_reduce(list_transform(range(0, octet_length(encode(w)) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT END), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM vocabulary, tab),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN hashed USING (w) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN hashed USING (w) GROUP BY 1),
+b AS (SELECT bucket, coalesce(s, 0)::BIGINT AS s, coalesce(t, 0)::BIGINT AS t FROM range(10000) x(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS gain FROM b),
+weighed AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY 1),
+h AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT AS h FROM d LEFT JOIN weighed USING (r)),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM h),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op6_mixing": mixing.sql(), "op8_warc": OP8_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_mixing": mixing.sql(), "op8_warc": OP8_SQL, "op13_resample": OP13_SQL}
