@@ -151,7 +151,7 @@ def test_round_trip_of_control_strings(spark):
 
 
 def test_registered(spark):
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     rows = queries.op10_chat(spark, SF)
     probe = rows.where("conv_id = -1").first()
     assert probe["n_turns"] == 2 and probe["loss_chars"] == len("</s>[INST] ok [/INST]") and probe["loss_sha256"] == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
