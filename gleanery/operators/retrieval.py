@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +13,12 @@ def candidates(limit: int) -> int:
     return max(200, min(limit * 20, 2000))
 
 
-def _ranked(df: DataFrame, score: str, key: str, limit: int) -> DataFrame:
+def ranked(df: DataFrame, score: str, key: str, limit: int) -> DataFrame:
     """The first ``limit`` rows with their place; the window sees only those."""
     top = df.orderBy(F.desc(score), key).limit(limit)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), F.col(key))).cast("long"))
 
 
-def keyword(docs: DataFrame, fields: dict[str, float], terms: list[str], key: str, limit: int) -> DataFrame:
-    """key, score, place of rows that hold every term.
-
-    A term counts the weight of each field whose words hold it; without terms all
-    rows match with score 0.
-    """
-    words = {f: F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), "[^a-z0-9]+") for f in fields}
-    hit = lambda t: [F.array_contains(words[f], t) for f in fields]
-    score = sum((F.when(F.array_contains(words[f], t), w).otherwise(0.0) for t in terms for f, w in fields.items()), F.lit(0.0))
-    found = docs.where(reduce(Column.__and__, [reduce(Column.__or__, hit(t)) for t in terms])) if terms else docs
-    return _ranked(found.select(F.col(key), score.alias("score")), "score", key, limit)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -48,7 +32,7 @@ def vector(vectors: DataFrame, query: list[float], key: str, limit: int, column:
     """
     q = F.array(*[F.lit(float(x)) for x in query or ()])
     scored = vectors.select(F.col(key), F.round(cosine(F.col(column), q), 9).alias("score"))
-    return _ranked(scored.where(F.col("score").isNotNull()), "score", key, limit)
+    return ranked(scored.where(F.col("score").isNotNull()), "score", key, limit)
 
 
 def fresh(embeddings: DataFrame, current: DataFrame, key: str, content_hash: str = "content_hash") -> DataFrame:
@@ -56,61 +40,6 @@ def fresh(embeddings: DataFrame, current: DataFrame, key: str, content_hash: str
     return embeddings.join(current.select(key, content_hash), [key, content_hash], "left_semi")
 
 
-# The endings that a stem lacks, and words that a query needn't hold.
-ENDINGS, STOP = r"([a-z]{3,})(ing|ed|es|s)\b", ("the", "a", "an", "and", "or", "of", "to", "in", "is")
-
-
-def stemmed(text: Column) -> Column:
-    """Lower-case words without common endings, one blank before, between and after them."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-    return F.concat(F.lit(" "), F.regexp_replace(plain, ENDINGS, "$1"), F.lit(" "))
-
-
-def asked(query: str) -> tuple[list[list[str]], list[str]]:
-    """The groups of phrases of which a text must hold one each, and those it must not hold.
-
-    Words are ANDed, quotes make phrases, "or" joins two groups, a minus excludes.
-    """
-    wanted, banned, joined = [], [], False
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query.lower()):
-        if word == "or" and not minus:
-            joined = bool(wanted)
-            continue
-        parts = re.findall("[a-z0-9]+", phrase or word)
-        stems = " ".join(re.sub(ENDINGS, r"\1", p) for p in parts)
-        if not stems or (len(parts) == 1 and parts[0] in STOP):
-            continue
-        if minus:
-            banned.append(stems)
-        elif joined:
-            wanted[-1].append(stems)
-        else:
-            wanted.append([stems])
-        joined = False
-    return wanted, banned
-
-
-def web_search(docs: DataFrame, fields: dict[str, float], query: str, key: str, limit: int) -> DataFrame:
-    """key, score, place of rows that a query in the language of search boxes finds.
-
-    The fields are one text for the match. A phrase counts the weight of each field
-    that holds it, times 1 + the share of the field before which it stands first, so
-    early finds rank higher. Without a query all rows match with score 0.
-    """
-    wanted, banned = asked(query)
-    text = stemmed(F.concat_ws(" . ", *fields))
-    holds = lambda x, p: F.contains(x, F.lit(f" {p} "))
-    parts = [reduce(Column.__or__, [holds(F.col("__text"), p) for p in group]) for group in wanted] + [~holds(F.col("__text"), p) for p in banned]
-    found = docs.withColumn("__text", text).where(reduce(Column.__and__, parts, F.lit(True)))
-    score = F.lit(0.0)
-    for field, weight in fields.items():
-        x = stemmed(F.col(field))
-        for phrase in (p for group in wanted for p in group):
-            early = 2.0 - F.instr(x, f" {phrase} ") / F.char_length(x)
-            score = score + F.when(holds(x, phrase), weight * early).otherwise(0.0)
-    return _ranked(found.select(F.col(key), F.round(score, 6).alias("score")), "score", key, limit)
-
-
 def fused(words: DataFrame, vectors: DataFrame, key: str, limit: int, k: int = 60, word_weight: float = 1.0, vector_weight: float = 0.55) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists."""
     w = words.select(key, F.col("place").alias("word_place"))

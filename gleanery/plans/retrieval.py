@@ -5,39 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions import exprs
-from gleanery.operators import filters, retrieval
+from gleanery.functions import exprs, tables
+from gleanery.operators import filters, fulltext, retrieval
 
+from . import searching
 from .registry import query
 
-TERMS, FIELDS = ["the", "was"], {"source": 1.0, "lang": 0.4, "text": 0.2}
-SPLIT = "string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+')"
-MATCH = " AND ".join("(" + " OR ".join(f"list_contains({SPLIT.format(f)}, '{t}')" for f in FIELDS) + ")" for t in TERMS)
-SCORE = " + ".join(f"CASE WHEN list_contains({SPLIT.format(f)}, '{t}') THEN {w} ELSE 0.0 END" for t in TERMS for f, w in FIELDS.items())
-WORDS = f"w AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT doc_id, ({SCORE})::DOUBLE AS score FROM documents WHERE {MATCH} ORDER BY score DESC, doc_id LIMIT 400))"
+#: The fields that a search reads, with the labels of their weights.
+FIELDS = {"source": "A", "lang": "B", "text": "C"}
+ASKED, LANGUAGES = "thing onanea", ["en", "fr"]
+FOUND = searching.search(ASKED, FIELDS, where="lang IN ('en', 'fr')")
+WORDS = f"{FOUND}, w AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT * FROM found ORDER BY score DESC, doc_id LIMIT 400))"
 COSINE = "list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))))"
 VECTORS = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings),
-fresh AS (SELECT e.* FROM e JOIN (SELECT doc_id, sha256(text) AS h FROM documents) d ON doc_id = vec_id JOIN (SELECT doc_id AS id, sha256(CASE WHEN lang = 'de' AND n_chars > 2000 THEN concat(text, ' ') ELSE text END) AS made_of FROM documents) m ON id = vec_id AND made_of = h),
+fresh AS (SELECT e.* FROM e JOIN (SELECT doc_id, sha256(text) AS h, CASE WHEN lang = 'de' AND n_chars > 2000 THEN sha256(concat(sha256(text), ' edited')) ELSE sha256(text) END AS made_of FROM documents WHERE lang IN ('en', 'fr', 'de')) d ON doc_id = vec_id AND h = made_of),
 v AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM (SELECT vec_id, round({COSINE}, 9) AS score FROM fresh WHERE sqrt(list_sum(list_transform(v, lambda x: x * x))) > 0 ORDER BY score DESC, vec_id LIMIT 400))"""
 
 
+def search_index(t) -> fulltext.Index:
+    """The index of all documents, with what filters and vectors need of them."""
+    keep = {"language": F.col("lang"), "content_hash": F.sha2("text", 256), "size": F.col("n_chars")}
+    return fulltext.index(t("documents"), "doc_id", FIELDS, keep)
+
+
 def words(t) -> DataFrame:
-    return retrieval.keyword(t("documents"), FIELDS, TERMS, "doc_id", retrieval.candidates(20))
+    found = fulltext.matches(search_index(t), ASKED, language=LANGUAGES)
+    return retrieval.ranked(found, "score", "doc_id", retrieval.candidates(20))
 
 
 def vectors(t) -> DataFrame:
-    """The nearest embeddings of current content; long German documents were edited since."""
-    d = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "n_chars")
-    current = d.select("vec_id", F.sha2("text", 256).alias("content_hash"))
-    made_of = d.select("vec_id", F.sha2(F.when((F.col("lang") == "de") & (F.col("n_chars") > 2000), F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("content_hash"))
-    known = retrieval.fresh(t("embeddings").join(made_of, "vec_id"), current, "vec_id")
+    """The nearest embeddings of current content in three languages; long German documents were edited since.
+
+    The hash of each text was taken when the index was built; no text is read.
+    """
+    known = filters.where(search_index(t).documents, language=["en", "fr", "de"]).withColumnRenamed("key", "vec_id")
+    edited = (F.col("language") == "de") & (F.col("size") > 2000)
+    made_of = known.select("vec_id", F.when(edited, F.sha2(F.concat("content_hash", F.lit(" edited")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    usable = retrieval.fresh(t("embeddings").join(made_of, "vec_id"), known, "vec_id")
     first = t("embeddings").where("vec_id = 0").select("embedding").first()  # the query's vector, one row
-    return retrieval.vector(known, first and first["embedding"], "vec_id", retrieval.candidates(20))
+    return retrieval.vector(usable, first and first["embedding"], "vec_id", retrieval.candidates(20))
 
 
-@query(f"WITH {WORDS} SELECT doc_id, round(score, 6) AS score, place, round(1.0 / (60 + place), 9)::DOUBLE AS fused_score FROM w WHERE place <= 20")
+@query(f"WITH {WORDS} SELECT doc_id, score, place, round(1.0 / (60 + place), 9)::DOUBLE AS fused_score FROM w WHERE place <= 20")
 def keyword_search(t) -> DataFrame:
-    return words(t).where("place <= 20").select("doc_id", F.round("score", 6).alias("score"), "place", F.round(1.0 / (60 + F.col("place")), 9).alias("fused_score"))
+    """Documents in two languages that hold both words, by cover density."""
+    return words(t).where("place <= 20").select("doc_id", "score", "place", F.round(1.0 / (60 + F.col("place")), 9).alias("fused_score"))
 
 
 @query(f"WITH {VECTORS} SELECT vec_id, score, place FROM v WHERE place <= 20")
@@ -54,14 +66,27 @@ def stale_embedding_guard(t) -> DataFrame:
     return embedded.join(current, ["vec_id", "content_hash"], "left").groupBy("label").agg(F.count("*").alias("embeddings"), F.count("fresh").alias("fresh"))
 
 
-@query(f"""
+FUSION = f"""
 WITH {WORDS}, {VECTORS}
-SELECT coalesce(doc_id, vec_id) AS doc_id, w.place AS word_place, v.place AS vector_place, round(coalesce(1.0::DOUBLE / (60 + w.place), 0) + coalesce(0.55::DOUBLE / (60 + v.place), 0), 9) AS score, 'hybrid' AS mode
-FROM w FULL JOIN v ON doc_id = vec_id ORDER BY score DESC, 1 LIMIT 20""")
+SELECT coalesce(doc_id, vec_id) AS doc_id, w.place AS word_place, v.place AS vector_place, round(coalesce(1.0::DOUBLE / (60 + w.place), 0) + coalesce(0.55::DOUBLE / (60 + v.place), 0), 9) AS score
+FROM w FULL JOIN v ON doc_id = vec_id ORDER BY score DESC, 1 LIMIT 20"""
+
+
+@query(FUSION.replace("AS score", "AS score, 'hybrid' AS mode"))
 def rrf_fusion(t) -> DataFrame:
     return retrieval.hybrid(words(t), vectors(t).withColumnRenamed("vec_id", "doc_id"), "doc_id", filters.clamp(20, 20, 1, 50), base=t("embeddings"))
 
 
+@query(FUSION)
+def candidate_function(t) -> DataFrame:
+    """The same fusion by a table function in SQL."""
+    spark = t("embeddings").sparkSession
+    tables.register(spark)
+    lists = words(t).select(F.col("doc_id").alias("key"), F.lit("words").alias("branch"), "place").unionByName(vectors(t).select(F.col("vec_id").alias("key"), F.lit("vectors").alias("branch"), "place"))
+    lists.withColumn("request", F.lit(1)).createOrReplaceTempView("__lists")
+    return spark.sql("SELECT key AS doc_id, word_place, vector_place, score FROM candidates(TABLE(__lists) PARTITION BY (request), 20)")
+
+
 PROJECTION = """
 WITH s AS (SELECT d.doc_id, lang, source, coalesce(l.quality = 1, false) AS has_quality, coalesce(l.toxic = 1, false) AS flagged, text AS title, coalesce(g.enabled, false) AS gate
   FROM documents d LEFT JOIN labels l USING (doc_id) JOIN (VALUES ('en', true), ('de', false), ('fr', true)) g(lang, enabled) USING (lang)),
@@ -87,16 +112,10 @@ def search_projection(t) -> DataFrame:
     return hashed.select("doc_id", "lang", "ready", "flagged", "flags", F.concat_ws(" ", "title", "source", "flags").alias("search_text"), "semantic_hash", exprs.content_hash("semantic_hash", "ready", "flagged", "flags").alias("content_hash"))
 
 
-STEM = "concat(' ', regexp_replace(trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g')), '([a-z]{{3,}})(ing|ed|es|s)\\b', '\\1', 'g'), ' ')"
-SEARCH = '"of the" or casino was -license inge'
-HOLDS = lambda x, p: f"contains({x}, ' {p} ')"
-BONUS = lambda f, p, w: f"CASE WHEN {HOLDS(f, p)} THEN {w} * (2.0 - strpos({f}, ' {p} ')::DOUBLE / length({f})) ELSE 0.0 END"
+SEARCH = '"anea eriner" or "und der" or für den or thanea -casino'
 
 
-@query(f"""
-WITH d AS (SELECT doc_id, {STEM.format("concat_ws(' . ', source, text)")} AS x, {STEM.format("source")} AS s, {STEM.format("text")} AS b FROM documents),
-m AS (SELECT doc_id, round({" + ".join(BONUS(f, p, w) for f, w in (("s", 1.0), ("b", 0.4)) for p in ("of the", "casino", "was", "inge"))}, 6) AS score FROM d WHERE ({HOLDS("x", "of the")} OR {HOLDS("x", "casino")}) AND {HOLDS("x", "was")} AND NOT {HOLDS("x", "license")} AND {HOLDS("x", "inge")})
-SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM m ORDER BY score DESC, doc_id LIMIT 20""")
+@query(f"WITH {searching.search(SEARCH, FIELDS)} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM found ORDER BY score DESC, doc_id LIMIT 20")
 def web_search(t) -> DataFrame:
-    """A query with a phrase, or, minus and stems, ranked by weights and places."""
-    return retrieval.web_search(t("documents"), {"source": 1.0, "text": 0.4}, SEARCH, "doc_id", 20)
+    """A query with phrases, or, minus and stems, ranked by cover density."""
+    return retrieval.ranked(fulltext.matches(search_index(t), SEARCH), "score", "doc_id", 20)

@@ -86,11 +86,10 @@ def test_uuid(spark):
 
 def test_modes_and_reads(spark):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, "red pear")], "id long, t string")
-    words = retrieval.keyword(docs, {"t": 1.0}, ["red"], "id", 10)
+    words = retrieval.ranked(docs.where("t like 'red%'").select("id", F.lit(1.0).alias("score")), "score", "id", 10)
     none = words.limit(0)
     assert [r["id"] for r in retrieval.hybrid(words, none, "id", 5).collect()] == [1, 3]
     assert retrieval.hybrid(words, none, "id", 5).first()["mode"] == "keyword_fallback" and retrieval.hybrid(words, none, "id", 5, "vector").count() == 0
-    assert retrieval.keyword(docs, {"t": 1.0}, [], "id", 10).count() == 3
     assert retrieval.fused(words, words, "id", 5).first()["score"] == pytest.approx(1.55 / 61, abs=1e-9)
     reads = serve.Reads()
     reads.add("docs", 2, lambda limit=1: filters.page(docs, [F.col("id")], limit))
@@ -134,13 +133,6 @@ def test_zero_vectors_and_missing_queries_are_left_out(spark):
     assert retrieval.vector(vectors, None, "id", 10).count() == 0 and retrieval.vector(vectors, [0.0, 0.0], "id", 10).count() == 0
 
 
-def test_search_box_language(spark):
-    assert retrieval.asked('data "machine learning" or robots -sales the') == ([["data"], ["machine learn", "robot"]], ["sale"])
-    docs = spark.createDataFrame([(1, "Learning data, machine Learning!"), (2, "robots and data"), (3, "data of robot sales"), (4, "machine data learning"), (5, None)], "id long, t string")
-    found = retrieval.web_search(docs, {"t": 1.0}, 'data "machine learning" or robots -sales', "id", 10)
-    assert sorted(r["id"] for r in found.collect()) == [1, 2] and retrieval.web_search(docs, {"t": 1.0}, "", "id", 10).count() == 5
-
-
 def test_batches_apply_whole_or_not_at_all(spark):
     from gleanery.operators import apply, pages
 
