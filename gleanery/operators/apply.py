@@ -18,10 +18,17 @@ def checked(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("errors", F.filter(F.array(*broken), lambda x: x.isNotNull()))
 
 
-def accepted(rows: DataFrame) -> DataFrame:
-    """The rows of a checked batch if none is broken, else none: a batch applies whole or not at all."""
-    any_broken = rows.agg(F.coalesce(F.bool_or(F.size("errors") > 0), F.lit(False)).alias("__broken"))
-    return rows.crossJoin(F.broadcast(any_broken)).where("not __broken").drop("errors", "__broken")  # one row
+def accepted(rows: DataFrame, batch: str | None = None) -> DataFrame:
+    """The rows of a checked table whose batch has no broken row: a batch applies whole or not at all.
+
+    ``batch``: the column that tells batches apart (a null is a batch too); by default
+    all rows are one. What is joined back is a flag for each batch with a broken row.
+    """
+    broken = rows.where(F.size("errors") > 0)
+    if batch is None:
+        return rows.crossJoin(F.broadcast(broken.limit(1).agg(F.count("*").alias("__n")))).where("__n = 0").drop("errors", "__n")  # one row
+    bad = broken.select(F.col(batch).alias("__b")).distinct()
+    return rows.join(bad, F.col(batch).eqNullSafe(F.col("__b")), "left_anti").drop("errors")
 
 
 def required(rows: DataFrame, key: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:

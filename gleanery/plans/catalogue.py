@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import exprs
-from gleanery.operators import apply, pages, snapshot
+from gleanery.operators import apply, gates, pages, snapshot
+from gleanery.session import scratch
+from gleanery.sources import generations
 
 from .registry import query
 
@@ -270,17 +272,34 @@ def flow_validation(t) -> DataFrame:
     return apply.checked(flow(t), {n: F.expr(c) for n, c in CHECKS.items()}).select(F.explode("errors").alias("rule"), "id")
 
 
-@query(f"WITH {FLOW}, g AS (SELECT f.*, " + " AND ".join(f"coalesce({c}, false)" for c in CHECKS.values()) + """ AS ok FROM f)
-SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE ok) AS valid, 0::BIGINT AS applied, sum(value) FILTER (WHERE ok)::DECIMAL(28,2) AS total FROM g GROUP BY 1""")
+OK = " AND ".join(f"coalesce({c}, false)" for c in CHECKS.values())
+
+
+@query(f"""
+WITH {FLOW}, g AS (SELECT f.*, {OK} AS ok, bool_and({OK}) OVER (PARTITION BY id // 10) AS whole FROM f)
+SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE whole) AS applied, sum(value) FILTER (WHERE whole)::DECIMAL(28,2) AS total FROM g GROUP BY 1""")
 def flow_apply(t) -> DataFrame:
-    """A batch with any broken row applies nothing; the counts say what is valid."""
+    """The lines of an order are a batch, which applies whole or not at all."""
     rows = apply.checked(flow(t), {n: F.expr(c) for n, c in CHECKS.items()})
-    ok = F.size("errors") == 0
-    counts = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.sum(F.when(ok, F.col("value"))).cast("decimal(28,2)").alias("total"))
-    written = apply.accepted(rows).groupBy("l_returnflag").agg(F.count("*").alias("applied"))
+    counts = rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.size("errors") == 0).alias("valid"))
+    written = apply.accepted(rows, "l_orderkey").groupBy("l_returnflag").agg(F.count("*").alias("applied"), F.sum("value").cast("decimal(28,2)").alias("total"))
     return counts.join(written, "l_returnflag", "left").select("l_returnflag", "n", "valid", F.coalesce("applied", F.lit(0)).cast("long").alias("applied"), "total")
 
 
+@query("""
+SELECT o_orderstatus, n_name, count(*) AS n, sum(l_quantity)::DECIMAL(28,2) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
+def gated_facts(t) -> DataFrame:
+    """Facts that pass four gates: each line finds its order, customer and nation, each is sound,
+    and rows and quantities are what the source states. Any failure stops the query as a whole."""
+    stated = t("lineitem").agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity")).first()  # the source's own totals, one row
+    lines = gates.found(t("lineitem"), t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus"), ["l_orderkey"], "order")
+    lines = gates.found(lines, t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), ["o_custkey"], "customer")
+    lines = gates.found(lines, t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), ["c_nationkey"], "nation")
+    lines = gates.sound(apply.checked(lines, {n: F.expr(CHECKS[n]) for n in ("flag_listed", "status_listed", "price_positive")}), "l_orderkey")
+    lines = gates.controlled(lines, {"rows": (F.count("*"), stated["rows"]), "quantity": (F.sum("l_quantity"), stated["quantity"])})
+    return lines.groupBy("o_orderstatus", "n_name").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("decimal(28,2)").alias("total"))
+
+
 @query("""
 WITH n AS (SELECT s_suppkey, s_nationkey, s_acctbal AS v FROM supplier), ok AS (SELECT * FROM n WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4) AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R') AND v > -800),
 o AS (SELECT s_suppkey, round(s_acctbal) AS v, DATE '2024-01-01' AS changed_at FROM supplier WHERE s_acctbal < 5000)
@@ -341,6 +360,26 @@ def projection_sync(t) -> DataFrame:
     return apply.projection_sync(old, new, "doc_id", 12).select("doc_id", "content_hash", "generation")
 
 
+@query("""
+WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE n_chars < 6000), b AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN concat(text, '!') ELSE text END) AS h FROM documents WHERE n_chars > 100),
+x AS (SELECT count(*) FILTER (WHERE a.h IS NULL) AS added, count(*) FILTER (WHERE a.h <> b.h) AS changed, count(*) FILTER (WHERE a.h = b.h) AS same, count(*) FILTER (WHERE b.h IS NULL) AS removed FROM a FULL JOIN b USING (doc_id)),
+n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb)
+SELECT 1 AS generation, na AS new, 0 AS changed, 0 AS unchanged, 0 AS removed, na AS rows, na AS applied FROM n
+UNION ALL SELECT 2, added, changed, same, removed, nb, added + changed FROM x, n
+UNION ALL SELECT 3, 0, 0, nb, 0, nb, 0 FROM n""")
+def projection_publish(t) -> DataFrame:
+    """Two generations of a projection and a replay: what each sync counted and wrote."""
+    d = t("documents")
+    spark = d.sparkSession
+    table = generations.Generations(spark, scratch(spark, "projection"), "doc_id")
+    edited = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    first = d.where("n_chars < 6000").select("doc_id", F.sha2("text", 256).alias("content_hash"), "lang")
+    second = d.where("n_chars > 100").select("doc_id", F.sha2(edited, 256).alias("content_hash"), "lang")
+    done = [table.sync(rows) for rows in (first, second, second)]
+    columns = ["generation", "new", "changed", "unchanged", "removed", "rows", "applied"]
+    return spark.createDataFrame([tuple(x[c] for c in columns) for x in done], ", ".join(f"{c} long" for c in columns))  # a row for each sync
+
+
 #: The child relations of a nested document: name, the lines that belong there.
 PARTS = {"cycle": "l_linenumber = 1", "window": "l_returnflag = 'R'", "scope": "l_returnflag = 'A'", "group": "l_linestatus = 'F'", "criterion": "l_quantity > 40", "tier": "l_discount > 0.08", "coverage": "l_tax > 0.06"}
 
