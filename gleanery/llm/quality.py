@@ -3,12 +3,13 @@
 Overlapping heuristic labellers vote on every document (bad, good or no vote):
 six on its form, and a lexicon of words that speak against a document, which is
 learned from a bounded sample of annotated rows. Expectation-maximisation over the
-counts of vote patterns estimates how often each labeller is right in either
-class; the posterior of a pattern, corrected by its annotated rows, is the label of
-its documents. The posteriors of all documents train a linear scorer over hashed
-word features.
+counts of vote patterns estimates how often each labeller votes in each class: good
+documents, and for each labeller those that are bad in its way (toxic ones look good to
+the labellers of form, and repeated lines to the others). The posterior of a pattern is
+the label of its documents, and the posteriors of all documents train a linear scorer
+over hashed word features.
 
-Annotations calibrate the labellers' rates and give the lexicon. The sample has at most
+Annotations give the lexicon and the rates from which the estimation starts, no label. The sample has at most
 ``max_annotated`` rows, those with the smallest hashes of their ids, so its ids fit
 a broadcast whatever the table's size. Every ``holdout``-th annotated id by another
 hash is never used, so it can measure the result. All else covers every document.
@@ -148,47 +149,61 @@ def _lexicon_vote(lexicon: dict, found: float) -> int:
     return BAD if found and lexicon["bias"] + found > 0 else NONE
 
 
-# How often a labeller is expected to vote in each class; counts as START documents of it.
-EXPECTED, START = {BAD: {BAD: 0.35, GOOD: 0.3}, GOOD: {BAD: 0.02, GOOD: 0.6}}, 20
+# How often a labeller is expected to vote among good documents, those bad in its own way and in another's;
+# counts as START documents of the class. A bad class begins with SEEDS annotated rows at least, or, where
+# nothing is annotated, with the share OUTSET.
+EXPECTED, START, SEEDS, OUTSET = {"good": {BAD: 0.02, GOOD: 0.6}, "own": {BAD: 0.9, GOOD: 0.02}, "other": {BAD: 0.1, GOOD: 0.5}}, 5, 5, 0.03
 
 
-def em(patterns: dict[tuple[int, ...], int], marked: dict[tuple[tuple[int, ...], int], int] | None = None, rounds: int = 30) -> tuple[dict[tuple[int, ...], float], list[dict]]:
-    """Posterior of "bad" for each vote pattern, and each labeller's rates.
+def em(patterns: dict[tuple[int, ...], int], marked: dict[tuple[tuple[int, ...], int], int] | None = None, rounds: int = 30) -> tuple[dict[tuple[int, ...], float], list[list[dict]]]:
+    """Posterior of "bad" for each vote pattern, and each labeller's rates by class.
 
+    Class 0 holds good documents, class i + 1 those that are bad in the way of labeller i.
     The labellers are taken as independent given the class. There are at most
     3 ** labellers patterns, however many documents there are. ``marked``: counts of
-    annotated rows by (votes, mark), whose class is known; together they weigh as
-    much as all documents, so the sample calibrates the rates alike at every size.
+    annotated rows by (votes, mark). They give the first shares and rates, a bad one to
+    the classes of the labellers that vote against it (a class with too few stays empty);
+    from then on all documents do, an annotated one with what its mark leaves of its
+    posterior. A posterior is that of a pattern, whatever its marks.
     """
-    total, k = sum(patterns.values()), len(next(iter(patterns), ()))
-    marked = {x: n for x, n in (marked or {}).items() if x[1] != NONE}
-    each = total / max(1, sum(marked.values()))
-    posterior: dict[tuple[int, ...], float] = {}
-
-    def estimated() -> tuple[float, list[dict]]:
-        """Prior and rates from the posteriors so far and the marked rows."""
-        mass = {c: dict.fromkeys([(i, v) for i in range(k) for v in (BAD, GOOD)], 0.0) for c in (BAD, GOOD)}
-        size = {BAD: 0.0, GOOD: 0.0}
-        for p, n, c in [(p, patterns[p] * (q if c == BAD else 1 - q), c) for p, q in posterior.items() for c in (BAD, GOOD)] + [(p, n * each, c) for (p, c), n in marked.items()]:
+    k = len(next(iter(patterns), ()))
+    classes = range(k + 1)
+    prior_of = lambda c, i: EXPECTED["good" if c == 0 else "own" if c == i + 1 else "other"]
+
+    def estimated(weighed: list[tuple[tuple[int, ...], int, float]]) -> tuple[list[float], list[list[dict]]]:
+        """Shares and rates of the classes from (votes, class, weight)."""
+        size, mass = [0.0] * (k + 1), [[{BAD: 0.0, GOOD: 0.0} for _ in classes] for _ in range(k)]
+        for p, c, n in weighed:
             size[c] += n
             for i, v in enumerate(p):
                 if v:
-                    mass[c][i, v] += n
-        rates = [{c: {v: (mass[c][i, v] + START * EXPECTED[c][v]) / (size[c] + START) for v in (BAD, GOOD)} for c in (BAD, GOOD)} for i in range(k)]
-        return min(0.9, max(0.01, size[BAD] / (size[BAD] + size[GOOD]))) if size[BAD] + size[GOOD] else 0.2, rates
-
-    def rate(i: int, c: int, v: int) -> float:
-        r = rates[i][c]
-        return max(1e-6, r[v] if v else 1 - r[BAD] - r[GOOD])
-
-    prior, rates = estimated()
+                    mass[i][c][v] += n
+        total = sum(size)
+        shares = [x / total for x in size] if 0 < size[0] < total else [1 - k * OUTSET, *[OUTSET] * k]
+        return shares, [[{v: (mass[i][c][v] + START * prior_of(c, i)[v]) / (size[c] + START) for v in (BAD, GOOD)} for c in classes] for i in range(k)]
+
+    def seeds(p: tuple[int, ...], mark: int, n: int) -> list[tuple[tuple[int, ...], int, float]]:
+        against = [i + 1 for i, v in enumerate(p) if v == BAD]
+        return [(p, 0, n)] if mark == GOOD else [(p, c, n / len(against)) for c in against]
+
+    marked = marked or {}
+    known = [x for (p, mark), n in marked.items() if mark != NONE for x in seeds(p, mark, n)]
+    sizes = [sum(n for _, c, n in known if c == x) for x in classes]
+    shares, rates = estimated([x for x in known if x[1] == 0 or sizes[x[1]] >= SEEDS])
+    posterior: dict[tuple[int, ...], list[float]] = {}
     for _ in range(rounds):
         for p in patterns:
-            lb = math.log(prior) + sum(math.log(rate(i, BAD, v)) for i, v in enumerate(p))
-            lg = math.log(1 - prior) + sum(math.log(rate(i, GOOD, v)) for i, v in enumerate(p))
-            posterior[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, lg - lb))))
-        prior, rates = estimated()
-    return posterior, rates
+            logs = [math.log(max(shares[c], 1e-300)) + sum(math.log(max(1e-6, rates[i][c][v] if v else 1 - rates[i][c][BAD] - rates[i][c][GOOD])) for i, v in enumerate(p)) for c in classes]
+            each = [math.exp(x - max(logs)) for x in logs]
+            posterior[p] = [x / sum(each) for x in each]
+        weighed = []
+        for p, by in posterior.items():
+            good, bad = marked.get((p, GOOD), 0), marked.get((p, BAD), 0) if by[0] < 1 else 0
+            open_ = patterns[p] - good - bad
+            weighed.append((p, 0, open_ * by[0] + good))
+            weighed += [(p, c, open_ * q + (bad * q / (1 - by[0]) if bad else 0.0)) for c, q in enumerate(by) if c]
+        shares, rates = estimated(weighed)
+    return {p: 1 - q[0] for p, q in posterior.items()}, rates
 
 
 def _sums(rows: DataFrame, judge, buckets: int, weights: dict[int, float], most: int = 120_000) -> DataFrame:
@@ -241,15 +256,6 @@ def _sums(rows: DataFrame, judge, buckets: int, weights: dict[int, float], most:
     return rows.mapInArrow(summed, "f long, bad double, good double").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def calibrated(posterior: dict[tuple[int, ...], float], marked: dict[tuple[tuple[int, ...], int], int], strength: float = 1.0) -> dict[tuple[int, ...], float]:
-    """Posteriors that count as ``strength`` annotated rows of their pattern beside the real ones."""
-    out = {}
-    for p, q in posterior.items():
-        bad, good = marked.get((p, BAD), 0), marked.get((p, GOOD), 0)
-        out[p] = (bad + strength * q) / (bad + good + strength)
-    return out
-
-
 def _weighted(sums: DataFrame, bad: float, good: float, evidence: float, least: float, most: int, buckets: int) -> dict:
     """Log-odds of the features that speak against a document, and the bias, of ``bad`` and ``good`` documents.
 
@@ -278,11 +284,11 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
         marks = stored(
             labels.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(holdout)) != 0))
             .groupBy("doc_id")
-            .agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("m"), F.max(F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 1)).alias("any"))
+            .agg(F.min(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), BAD).otherwise(GOOD)).alias("mark"), F.max(F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 1)).alias("any"))
             .where("any = 1")
             .orderBy(F.xxhash64("doc_id"), "doc_id")
             .limit(max_annotated)
-            .select("doc_id", F.when(F.col("m") == 1, BAD).otherwise(GOOD).alias("mark")),
+            .select("doc_id", "mark"),
             "marks",
         )
         annotated = texts.join(F.broadcast(marks), "doc_id").select("text", "mark")
@@ -309,7 +315,6 @@ def fit(docs: DataFrame, labels: DataFrame | None, *, max_annotated: int = 20_00
         patterns[tuple(votes)] = patterns.get(tuple(votes), 0) + r["n"]
         marked[tuple(votes), mark] = r["n"]
     posterior, rates = em(patterns, marked)
-    posterior = calibrated(posterior, marked)
 
     def judge(data: bytes, tokens: list[bytes], named: float, mark: int) -> tuple[float, list[int]]:
         votes = [*vote(data, tokens), _lexicon_vote(lexicon, named)]

@@ -1,6 +1,7 @@
 """Text operators against brute force and on edge rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -205,31 +206,76 @@ def test_classifier_rejects_junk_and_learns_words(spark):
 
 
 def test_em_equals_row_by_row_em():
+    """Every document on its own, with arrays, against the counts of patterns; and the truth that made the votes."""
     import numpy as np
 
     rng = np.random.default_rng(3)
-    n, k = 4000, 5
-    bad = rng.random(n) < 0.3
-    hit, false = rng.uniform(0.4, 0.8, k), rng.uniform(0.02, 0.1, k)
-    votes = np.where(rng.random((n, k)) < np.where(bad[:, None], hit, false), quality.BAD, np.where(rng.random((n, k)) < 0.5, quality.GOOD, quality.NONE))
-    marks = np.where(rng.random(n) < 0.1, np.where(bad, quality.BAD, quality.GOOD), quality.NONE)
+    n, k = 6000, 4
+    kind = rng.choice(k + 1, n, p=[0.7, 0.1, 0.1, 0.07, 0.03])  # 0: good, i + 1: bad in the way of labeller i
+    against = rng.random((n, k)) < np.where(kind[:, None] == np.arange(1, k + 1), 0.95, 0.02)
+    votes = np.where(against, quality.BAD, np.where(rng.random((n, k)) < 0.7, quality.GOOD, quality.NONE))
+    marks = np.where(rng.random(n) < 0.1, np.where(kind > 0, quality.BAD, quality.GOOD), quality.NONE)
     patterns, marked = {}, {}
     for v, m in zip(map(tuple, votes.tolist()), marks.tolist()):
         patterns[v] = patterns.get(v, 0) + 1
         marked[v, m] = marked.get((v, m), 0) + 1
     posterior, rates = quality.em(patterns, marked, rounds=7)
-    # Every document on its own, with arrays.
-    each = n / (marks != 0).sum()
-    q, known = np.zeros(n), {c: each * (marks == c) for c in (quality.BAD, quality.GOOD)}
-    for i in range(8):
-        w = {quality.BAD: known[quality.BAD] + q * (i > 0), quality.GOOD: known[quality.GOOD] + (1 - q) * (i > 0)}
-        prior = min(0.9, max(0.01, w[quality.BAD].sum() / (w[quality.BAD].sum() + w[quality.GOOD].sum())))
-        r = {(c, v): ((w[c][:, None] * (votes == v)).sum(0) + quality.START * quality.EXPECTED[c][v]) / (w[c].sum() + quality.START) for c in w for v in (quality.BAD, quality.GOOD)}
-        p = {c: np.select([votes == quality.BAD, votes == quality.GOOD], [r[c, quality.BAD], r[c, quality.GOOD]], 1 - r[c, quality.BAD] - r[c, quality.GOOD]).prod(1) for c in w}
-        last, q = q, prior * p[quality.BAD] / (prior * p[quality.BAD] + (1 - prior) * p[quality.GOOD])
-    assert max(abs(posterior[tuple(v)] - x) for v, x in zip(votes.tolist(), last)) < 1e-9
-    assert max(abs(rates[i][quality.BAD][quality.BAD] - hit[i]) for i in range(k)) < 0.06
-    assert quality.calibrated({(1,): 0.5}, {((1,), quality.BAD): 15}) == {(1,): 15.5 / 16}
+    by = np.zeros((n, k + 1))
+    hit = votes == quality.BAD
+    by[:, 1:] = np.where((marks == quality.BAD)[:, None] & hit, 1 / np.maximum(hit.sum(1, keepdims=True), 1), 0.0)
+    by[:, 0] = marks == quality.GOOD
+    by[:, 1:][:, by[:, 1:].sum(0) < quality.SEEDS] = 0
+    expect = lambda c, i: quality.EXPECTED["good" if c == 0 else "own" if c == i + 1 else "other"]
+    for _ in range(7):
+        share = by.sum(0) / by.sum()
+        like = np.ones((n, k + 1)) * share
+        for c in range(k + 1):
+            for i in range(k):
+                r = {v: ((by[:, c] * (votes[:, i] == v)).sum() + quality.START * expect(c, i)[v]) / (by[:, c].sum() + quality.START) for v in (quality.BAD, quality.GOOD)}
+                like[:, c] *= np.select([votes[:, i] == v for v in r], list(r.values()), 1 - sum(r.values()))
+        free = like / like.sum(1, keepdims=True)
+        by = free.copy()
+        by[marks == quality.GOOD] = np.eye(k + 1)[0]
+        by[marks == quality.BAD, 0] = 0
+        by /= by.sum(1, keepdims=True)
+    by = free
+    assert max(abs(posterior[tuple(v)] - x) for v, x in zip(votes.tolist(), 1 - by[:, 0])) < 1e-9
+    right = np.array([(posterior[tuple(v)] > 0.5) == (c > 0) for v, c in zip(votes.tolist(), kind.tolist())])
+    assert right.mean() > 0.92 and abs(rates[0][1][quality.BAD] - 0.95) < 0.06
+    # Marks start the estimation and decide no pattern: most of the marks of a pattern may be wrong.
+    few, _ = quality.em({(1, 1): 5000, (-1, 1): 400, (1, -1): 300}, {((1, 1), quality.GOOD): 10, ((1, 1), quality.BAD): 15, ((-1, 1), quality.BAD): 30, ((1, -1), quality.BAD): 30})
+    assert few[1, 1] < 0.2 < 0.9 < few[-1, 1] and few[1, -1] > 0.9
+    for only in (quality.BAD, quality.GOOD):
+        one, _ = quality.em({(1, 1): 5000, (-1, -1): 400}, {((1, 1) if only == quality.GOOD else (-1, -1), only): 50})
+        assert one[1, 1] < 0.1 < 0.9 < one[-1, -1]
+
+
+def test_scorer_equals_brute_force(spark):
+    """The weights of the model from the sums of posteriors over documents, feature by feature."""
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = ["the of and to in is " + prose(rng, 30) for _ in range(200)] + [" ".join(f"{w}###" for w in prose(rng, 25).split()) + " zzjunk" for _ in range(80)]
+    model = quality.fit(docs_of(spark, list(enumerate(texts))), None, evidence=20.0)
+    votes = [(*quality.vote(t.encode(), words(t.encode())), quality.NONE) for t in texts]
+    counts: dict = {}
+    for v in votes:
+        counts[v] = counts.get(v, 0) + 1
+    posterior, _ = quality.em(counts, {})
+    q = np.array([posterior[v] for v in votes])
+    features = [{x for w in set(words(t.encode())) for x in quality._bucket(w, model["buckets"])} | set(quality._vote_features(v, model["buckets"])) for t, v in zip(texts, votes)]
+    bad, good = q.sum(), (1 - q).sum()
+    expected = {}
+    for f in set().union(*features):
+        at = np.array([f in x for x in features])
+        b, g = q[at].sum(), (1 - q)[at].sum()
+        w = math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
+        part = (bad + 1) / (bad + good + 2)
+        g2 = 2 * (b * math.log((b + 1e-9) / ((b + g) * part)) + g * math.log((g + 1e-9) / ((b + g) * (1 - part))))
+        if w > 3.5 and g2 > (10 if f >= model["buckets"] else 20.0):
+            expected[f] = w
+    assert set(model["weights"]) == set(expected) and len(expected) > 3
+    assert all(abs(model["weights"][f] - w) < 1e-6 for f, w in expected.items()) and abs(model["bias"] - math.log((bad + 1) / (good + 1))) < 1e-9
 
 
 def test_scores_keep_columns_and_ties(spark):
