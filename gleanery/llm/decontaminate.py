@@ -4,8 +4,15 @@ The automaton of the normalised benchmark items is built once for a block of
 items and sent to the tasks; each document's words stream through it, and the
 length of the longest match that ends at each word is tracked. A benchmark is a
 stated query set: it is taken in blocks of about ``block_words`` words, and a longer
-item in pieces that overlap, so what is broadcast has that bound whatever the
-benchmark's size (about 0.6 KB a word in the driver and in each task).
+item in pieces that overlap. Each block is a pass of its own over the documents, whose
+result is written before the next one begins: a task has one automaton at a time, and the
+driver too (about 0.6 KB a word), whatever the benchmark's size.
+
+Cases: null, empty and blank texts have no words, no hits and are not contaminated;
+repeated rows are judged alike, as are equal texts; an empty table stays empty; without
+benchmark rows nothing is hit. Input columns named as results (``n_words``, ``hits``,
+``items``, ``longest``, ``n_hit``, ``contaminated``) are replaced by them in ``match`` and
+``judged`` and kept by ``remove_spans``.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, words
+from .common import stored, utf8, words
 
 WINDOW = 13
 
@@ -173,7 +180,7 @@ def match(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_
     n = len(blocks(items, block_words))
     items = pieces(items, max(window, block_words // 4), window)
     schema = docs.selectExpr("*", "0L as n_words", "array(struct(0L as a, 0L as b)) as hits", "array('') as items", "0L as longest").schema
-    at = docs.columns.index("text")
+    at, width = docs.columns.index("text"), len(docs.columns)
     out = docs
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
@@ -195,14 +202,15 @@ def match(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_
                     hits.append([{"a": a, "b": b} for a, b in runs])
                     items.append(sorted(found))
                     most.append(longest)
-                own = batch.columns if first else batch.columns[: len(docs_columns)]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())],
+                    [*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(most, pa.int64())],
                     names=schema.names,
                 )
 
-        docs_columns = docs.columns
         out = out.mapInArrow(matched, schema)
+        if k < n - 1:
+            out = stored(out, "matched")
+            sent.destroy()
     return out
 
 

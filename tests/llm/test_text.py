@@ -130,6 +130,21 @@ def brute_hits(text, items, window=13):
     return len(w), len(hit), found
 
 
+def test_one_automaton_at_a_time_and_clashing_names(spark):
+    rng = random.Random(15)
+    bench = spark.createDataFrame([(i, prose(rng, 40)) for i in range(20)] + [(None, "x"), (30, None), (31, "")], "item_id long, text string")
+    texts = [(i, prose(rng, 50)) for i in range(10)] + [(20 + i, prose(rng, 5) + " " + r["text"]) for i, r in enumerate(bench.where("length(text) > 9").collect())]
+    docs = docs_of(spark, texts + EDGES).withColumns({"n_hit": F.lit("a"), "Longest": F.lit("b"), "n_words": F.lit(1), "contaminated": F.lit("c")})
+    nodes = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    few, many = (decontaminate.judged(docs, bench, block_words=w) for w in (1_000_000, 100))
+    assert nodes(few) == nodes(many) == 1 and len(decontaminate.blocks(bench, 100)) > 5
+    key = lambda df: sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"], r["items"])) for r in df.collect())
+    assert key(few) == key(many) and few.where("contaminated").count() == 20
+    left = decontaminate.remove_spans(docs, bench, block_words=100)
+    assert left.columns == docs.columns and {r["n_hit"] for r in left.collect()} == {"a"} and left.count() == 10 + len(EDGES)
+    assert decontaminate.judged(docs.limit(0), bench).count() == 0 and decontaminate.judged(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 60, 8])
 def test_windows_equal_brute_force(spark, block_words):
     rng = random.Random(5)
