@@ -34,3 +34,29 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     """A page in a total order, which a top-k and not a full sort finds."""
     return df.orderBy(*order).limit(limit + offset).offset(offset) if offset else df.orderBy(*order).limit(limit)
 
+
+
+def in_locale(names: Column, collation: str = "UNICODE") -> Column:
+    """An array of texts in the order of a collation; texts that it holds equal are in binary order."""
+    pairs = F.transform(names, lambda w: F.struct(F.collate(w, collation).alias("by"), w.alias("w")))
+    return F.transform(F.array_sort(pairs), lambda p: p["w"])
+
+
+def coordinates(members: dict[str, DataFrame], samples: int) -> DataFrame:
+    """``sample``, ``address`` and a member of each dimension, for ``samples`` cells evenly over a cube.
+
+    ``members``: one row each, with the ordered members as an array ``m``. The cells are numbered
+    in mixed radix, the last dimension fastest, so a cell is found from its address and
+    no product is made.
+    """
+    rows = None
+    for name, df in members.items():
+        one = F.broadcast(df.select(F.col("m").alias(name)))
+        rows = one if rows is None else rows.crossJoin(one)  # one row each
+    total = reduce(Column.__mul__, [F.size(n).cast("long") for n in members])
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))).alias("sample")).withColumn("address", F.floor(F.col("sample") * total / samples).cast("long"))
+    rest, found = F.col("address"), {}
+    for name in reversed(members):
+        found[name] = F.get(name, F.pmod(rest, F.size(name)).cast("int"))
+        rest = F.floor(rest / F.size(name))
+    return cells.select("sample", "address", *[found[n].alias(n) for n in members])

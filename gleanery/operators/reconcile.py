@@ -36,3 +36,15 @@ def unique_match(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     hits = labels.join(aliases, "form").groupBy("label").agg(F.countDistinct("id").alias("m"), F.min("id").alias("id"))
     state = F.when(F.col("m").isNull(), "unmatched").when(F.col("m") == 1, "matched").otherwise("ambiguous")
     return labels.select("label").distinct().join(hits, "label", "left").select("label", F.when(F.col("m") == 1, F.col("id")).alias("id"), state.alias("state"))
+
+
+def by_code(rows: DataFrame, known: DataFrame, form: str) -> DataFrame:
+    """One row for each code: its first title, how often it came, the outcome and the id that it has or gets.
+
+    A code (null too) that is not of the ``form`` is a conflict and gets no id. ``known``: code, id.
+    """
+    codes = rows.groupBy("code").agg(F.min("title").alias("title"), F.count("*").alias("n")).join(known, "code", "left")
+    bad = ~F.coalesce(F.regexp_like("code", F.lit(form)), F.lit(False))
+    outcome = F.when(bad, "conflict").when(F.col("id").isNotNull(), "existing").otherwise("created")
+    made = F.when(~bad, F.coalesce(F.col("id").cast("string"), F.md5(F.concat(F.lit("provider:"), "code"))))
+    return codes.select("code", "title", "n", outcome.alias("outcome"), made.alias("provider_id"))

@@ -189,19 +189,6 @@ def course_reconciliation(t) -> DataFrame:
     return found.select(F.coalesce("course_id", made).alias("course_id"), owner.alias("provider_id"), "provider_code", "course_code", F.when(F.col("course_id").isNotNull(), "existing").otherwise("created").alias("outcome"), "records")
 
 
-@query("""
-WITH r AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN concat('X', s_suppkey) ELSE concat('O', lpad(s_suppkey::VARCHAR, 12, '0')) END AS code, s_name AS title, s_acctbal FROM supplier)
-SELECT CASE WHEN NOT regexp_full_match(code, 'O[0-9]{10,15}') THEN 'conflict' WHEN s_acctbal > 0 THEN 'existing' ELSE 'created' END AS outcome, count(*) AS n, min(title) AS first_title FROM r GROUP BY 1""")
-def provider_only_reconciliation(t) -> DataFrame:
-    """Providers by a code of fixed form, without courses."""
-    k = F.col("s_suppkey")
-    code = F.when(k % 4 == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise(F.concat(F.lit("O"), F.lpad(k.cast("string"), 12, "0")))
-    rows = apply.checked(t("supplier").select(code.alias("code"), F.col("s_name").alias("title"), "s_acctbal"), {"form": F.regexp_like("code", F.lit("^O[0-9]{10,15}$"))})
-    known = rows.where("s_acctbal > 0").select("code", F.lit(True).alias("known"))
-    outcome = F.when(F.size("errors") > 0, "conflict").when(F.col("known"), "existing").otherwise("created")
-    return rows.join(known, "code", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
-
-
 @query("SELECT DISTINCT c_nationkey AS missing FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
 def required_lookup(t) -> DataFrame:
     known = t("nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"))
@@ -397,18 +384,6 @@ def document_shred(t) -> DataFrame:
     return rows.join(known, "target", "left").select("relation", "l_orderkey", "ord", "target", F.md5(F.concat_ws(":", F.lit("doc"), text("l_orderkey"), "relation", text("ord"))).alias("id"), F.coalesce("there", F.lit(False)).alias("target_known"))
 
 
-@query(f"""
-WITH {PROVIDERS}, {RECORDS}, x AS (SELECT r.*, c.course_id FROM r JOIN p USING (provider_code) JOIN c ON c.provider_id = p.provider_id AND c.course_code = r.course_code),
-q AS (SELECT * FROM x WHERE provider_code IN (SELECT upper(s_name) FROM supplier WHERE s_nationkey < 20))
-SELECT course_id, kind, count(*) AS n FROM q CROSS JOIN (VALUES ('link'), ('fee'), ('intake')) k(kind) GROUP BY ALL""")
-def fact_apply(t) -> DataFrame:
-    """Facts of exactly resolved courses of qualified providers, in three relations."""
-    providers, courses, records = catalogue(t)
-    qualified = t("supplier").where("s_nationkey < 20").select(F.upper("s_name").alias("provider_code"))
-    found = apply.by_provider(records, providers, courses).where("state = 'resolved'").join(qualified, "provider_code", "left_semi")
-    return found.select("course_id", F.explode(F.array(*[F.lit(x) for x in ("link", "fee", "intake")])).alias("kind")).groupBy("course_id", "kind").agg(F.count("*").alias("n"))
-
-
 @query("""
 WITH m AS (SELECT o_orderkey AS course, min(o_custkey) AS provider FROM orders GROUP BY 1), l AS (SELECT l_orderkey AS course, CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS provider, concat('Campus ', l_linenumber) AS location FROM lineitem)
 SELECT DISTINCT l.course, coalesce(l.provider, m.provider) AS provider, location FROM l LEFT JOIN m USING (course) WHERE coalesce(l.provider, m.provider) IS NOT NULL""")

@@ -94,18 +94,6 @@ def reconcile_counts(t) -> DataFrame:
     return resolved(t).groupBy("outcome").agg(F.count("*").alias("n"), F.countDistinct("entity_id").alias("entities"))
 
 
-@query("""
-WITH a AS (SELECT DISTINCT s_suppkey AS id, unnest([concat('name ', s_suppkey % 60), concat('alias ', s_suppkey)]) AS form FROM supplier), l AS (SELECT DISTINCT concat('L', c_custkey % 150) AS label, unnest([concat('name ', c_custkey % 150), concat('alias ', c_custkey % 150)]) AS form FROM customer),
-h AS (SELECT label, count(DISTINCT id) AS m, min(id) AS id FROM l JOIN a USING (form) GROUP BY 1)
-SELECT label, CASE WHEN m = 1 THEN id END AS id, CASE WHEN m IS NULL THEN 'unmatched' WHEN m = 1 THEN 'matched' ELSE 'ambiguous' END AS state FROM (SELECT DISTINCT label FROM l) LEFT JOIN h USING (label)""")
-def unique_alias_match(t) -> DataFrame:
-    form = lambda p, x: F.concat(F.lit(p), x.cast("string"))
-    s, c = F.col("s_suppkey"), F.col("c_custkey") % 150
-    aliases = t("supplier").select(s.alias("id"), F.explode(F.array(form("name ", s % 60), form("alias ", s))).alias("form")).distinct()
-    labels = t("customer").select(form("L", c).alias("label"), F.explode(F.array(form("name ", c), form("alias ", c))).alias("form")).distinct()
-    return reconcile.unique_match(labels, aliases)
-
-
 MAPPING = (("PROMO", "advanced", "mapped"), ("ECONOMY", "basic", "mapped"), ("STANDARD", None, "review_required"))
 
 
