@@ -1,6 +1,6 @@
 """Queries over the provided tables, each with its SQL twin."""
 
-from . import catalogue, depth, governance, retrieval, scalars, serving, shapes  # noqa: F401
+from . import catalogue, depth, governance, retrieval, scalars, serving, shapes, snapshots  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import markup
-from gleanery.operators import evidence, facts, filters, reconcile
+from gleanery.operators import evidence, facts, filters, reconcile, regulatory, scoped
 
 
 def test_entities_lines_and_headings(spark):
@@ -125,3 +125,46 @@ def test_codes_alone(spark):
     rows = spark.createDataFrame([("O1", "b"), ("O1", "a"), ("x", "c"), (None, "d"), ("O2", None)], "code string, title string")
     got = {r["code"]: (r["title"], r["n"], r["outcome"], r["provider_id"]) for r in reconcile.by_code(rows, spark.createDataFrame([("O1", "7")], "code string, id string"), "^O[0-9]$").collect()}
     assert got["O1"] == ("a", 2, "existing", "7") and got["x"] == ("c", 1, "conflict", None) and got[None] == ("d", 1, "conflict", None) and got["O2"][2] == "created" and len(got["O2"][3]) == 32
+
+
+def test_scoped_rules_and_conflicts(spark):
+    for schemes, said in ((("", "local"), "required"), (("ircc_dli", " "), "required"), (("cricos", "local"), "ircc_dli"), (("IRCC_DLI", "CIP"), "classifies")):
+        with pytest.raises(ValueError, match=said):
+            scoped.ruled("CA", *schemes)
+    assert scoped.ruled("AU", " CRICOS ", "Cricos") == ("cricos", "cricos")
+    row = lambda i, p, n, c, t, s=None, g=None: (i, p, n, c, t, s, g, "7")
+    rows = [row(1, " o1 ", "P", "C-1", "A"), row(2, "O1", "P", "C-1", "B", "Suspended", "CIP"), row(3, "O1", "P", "c 1", "C"), row(4, "O2", "Q", "C-1", "D"), row(5, None, "P", "C", "A"), row(6, "O1", "P", "C", " "), row(7, "O1", "P", "C", "A", "closed")]
+    df = spark.createDataFrame(rows, "ord long, provider_code string, provider_name string, course_code string, title string, lifecycle string, reg_scheme string, reg_code string").repartition(3)
+    known = spark.createDataFrame([("o2", 9)], "code string, id long")
+    out = scoped.reconciled(df, "CA", "ircc_dli", "local", known)
+    got = {r["ord"]: (r["provider_outcome"], r["course_outcome"]) for r in out.where("not conflict").collect()}
+    assert got == {1: ("created", "created"), 2: ("existing", "existing"), 3: ("existing", "existing"), 4: ("existing", "created")}  # "c 1" and "C-1" make one key
+    assert {r["name"]: r["n"] for r in scoped.counted(out).collect()} == {"records": 7, "conflicts": 3, "provider_created": 1, "provider_existing": 3, "course_created": 2, "course_existing": 2, "lifecycle_active": 3, "lifecycle_suspended": 1}
+    made = {r["course_key"]: (r["title"], r["lifecycle"], r["provider_id"]) for r in scoped.courses(out).collect()}
+    assert made["course:ca:ircc_dli:o2:local:c-1"] == ("D", "active", "9") and made["course:ca:ircc_dli:o1:local:c-1"][:2] == ("C", "active")
+    ids = scoped.identifiers(out, "ircc_dli", "local")
+    assert ids.where("relation = 'course_registration'").count() == 1 and ids.count() == ids.distinct().count()
+    known_course = spark.createDataFrame([("O1", "C-1", "x")], "provider_code string, course_code string, id string")
+    again = scoped.reconciled(df, "CA", "ircc_dli", "local", known, known_course)
+    assert {r["ord"] for r in again.where("course_id = 'x'").collect()} == {1, 2} and scoped.counted(scoped.reconciled(df.limit(0), "CA", "ircc_dli", "local", known)).count() == 0
+
+
+def test_a_snapshot_ends_others_and_its_replay_changes_nothing(spark):
+    record = lambda i, c, tuition, other=None: (i, "p", c, "yes", "3", "en", tuition, other, None)
+    records = spark.createDataFrame([record(1, "a", "AUD 1,000.50", "n/a"), record(2, "b", None), record(3, "zz", "5"), record(4, "a", "AUD 2", "n/a")], "ord long, provider_code string, course_code string, dual_raw string, hours_raw string, language string, tuition_raw string, non_tuition_raw string, total_raw string")
+    courses = spark.createDataFrame([("P", "A", 1), ("P", "B", 2)], "provider_code string, course_code string, course_id long")
+    rows = regulatory.matched(regulatory.parsed(records), courses)
+    grid = regulatory.fee_grid(rows, "s", "2024-02-01")
+    day = dt.date
+    observed = spark.createDataFrame([(1, day(2024, 1, 1), "h", "current", None), (1, day(2024, 3, 1), "h", "current", None), (9, day(2024, 1, 1), "h", "current", None)], "course_id long, snapshot_at date, content_hash string, status string, valid_to date")
+    fees = spark.createDataFrame([(1, "tuition", "old", 7, day(2024, 1, 1), "active", None), (1, "non_tuition", "o2", 7, None, "active", None), (9, "tuition", "o9", 7, day(2024, 1, 1), "active", None)], "course_id long, fee_type string, source_fee_key string, amount int, snapshot_at date, status string, valid_to date").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    counts = {(r["kind"], r["outcome"]): r["n"] for r in regulatory.counted(rows, grid, observed, fees, "2024-02-01").collect()}
+    assert counts == {("fact", "created"): 2, ("fact", "superseded"): 2, ("fee", "created"): 1, ("fee", "superseded"): 2, ("fee", "invalid"): 1, ("record", "course_missing"): 1}
+    after, paid = regulatory.observed_after(rows, observed, "2024-02-01"), regulatory.fees_after(grid, fees, "2024-02-01")
+    state = {(r["course_id"], str(r["snapshot_at"])): r["status"] for r in after.collect()}
+    assert state == {(1, "2024-01-01"): "superseded", (1, "2024-03-01"): "superseded", (9, "2024-01-01"): "current", (1, "2024-02-01"): "current", (2, "2024-02-01"): "current"}
+    assert {(r["source_fee_key"], str(r["amount"]), r["status"]) for r in paid.collect()} == {("old", "7.00", "superseded"), ("o2", "7.00", "superseded"), ("o9", "7.00", "active"), ("s:a:tuition:2024-02-01", "2.00", "active")}
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    assert same(after, regulatory.observed_after(rows, after, "2024-02-01")) and same(paid, regulatory.fees_after(grid, paid, "2024-02-01"))
+    replay = {(r["kind"], r["outcome"]): r["n"] for r in regulatory.counted(rows, grid, after, paid, "2024-02-01").collect()}
+    assert replay == {("fact", "unchanged"): 2, ("fee", "unchanged"): 1, ("fee", "invalid"): 1, ("record", "course_missing"): 1}
