@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators import gates
 from gleanery.session import ship
 
 
@@ -59,6 +60,37 @@ def shards(spark: SparkSession, pattern: str, key: str) -> tuple[DataFrame, Data
     return df, df.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("shard")).alias("shards")).where("n > 1")
 
 
+def manifest(spark: SparkSession, pattern: str) -> DataFrame:
+    """``shard``, ``sha256``, ``length`` of each file of a pattern."""
+    files = spark.read.format("binaryFile").load(pattern)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.sha2("content", 256).alias("sha256"), "length")
+
+
+def whole_shards(spark: SparkSession, pattern: str, key: str, stated: DataFrame) -> DataFrame:
+    """All rows of the shards that a manifest (shard, sha256) states.
+
+    A shard that is missing, changed or not stated, and a key that two rows have, stop the
+    job that reads them; what is read is all shards or none.
+    """
+    rows, twice = shards(spark, pattern, key)
+    there = manifest(spark, pattern).select("shard", F.col("sha256").alias("found"))
+    differ = stated.select("shard", "sha256").join(there, "shard", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("found")))
+    return gates.without(gates.without(rows, differ, "shard", "shards differ from the manifest"), twice, key, "keys stand more than once")
+
+
+def replayed(spark: SparkSession, path: str, descriptors: DataFrame) -> DataFrame:
+    """Stored blobs with their descriptors (name, sha256, descriptor, descriptor_sha256), before anything is parsed.
+
+    A descriptor that doesn't fit its own hash, and a blob that is missing or doesn't fit its
+    descriptor's, stop the job. Blobs without a descriptor are left out.
+    """
+    bad = descriptors.where(~F.sha2(F.col("descriptor").cast("binary"), 256).eqNullSafe(F.col("descriptor_sha256")))
+    blobs = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.sha2("content", 256).alias("__sha"))
+    rows = gates.found(descriptors, blobs, ["name"], "blob")
+    odd = rows.where(~F.col("sha256").eqNullSafe(F.col("__sha")))
+    return gates.without(gates.without(rows.drop("__sha"), bad, "name", "descriptors differ from their hashes"), odd, "name", "blobs differ from their descriptors")
+
+
 def zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """archive, member, content of the members whose names match ``pattern``."""
     ship(spark)
