@@ -69,14 +69,16 @@ def reconciled(records: DataFrame, country: str, provider_scheme: str, course_sc
 def counted(rows: DataFrame) -> DataFrame:
     """``name``, ``n``: records, conflicts, created and existing providers and courses, records by lifecycle."""
     good = ~F.col("conflict")
-    kinds = F.array(
-        F.lit("records"),
-        F.when(F.col("conflict"), F.lit("conflicts")),
-        F.when(good, F.concat(F.lit("provider_"), F.col("provider_outcome"))),
-        F.when(good, F.concat(F.lit("course_"), F.col("course_outcome"))),
-        F.when(good, F.concat(F.lit("lifecycle_"), F.col("lifecycle"))),
-    )
-    return rows.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    counts = {"records": F.lit(True), "conflicts": F.col("conflict")}
+    counts |= {f"lifecycle_{x}": good & (F.col("lifecycle") == x) for x in LIFECYCLE}
+    one = rows.agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    for who in ("provider", "course"):
+        # By key first: records of one ``ord`` create one.
+        keys = rows.where(good).groupBy(f"{who}_key").agg(F.max((F.col(f"{who}_outcome") == "created").cast("int")).alias("made"), F.count("*").alias("n"))
+        made = keys.agg(F.coalesce(F.sum("made"), F.lit(0)).alias(f"{who}_created"), F.coalesce(F.sum(F.col("n") - F.col("made")), F.lit(0)).alias(f"{who}_existing"))
+        one = one.crossJoin(made)  # one row each
+    counts = [*counts, *[f"{who}_{how}" for who in ("provider", "course") for how in ("created", "existing")]]
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in counts])).alias("x")).select("x.*")
 
 
 def courses(rows: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def scoped_batch(t) -> tuple[DataFrame, DataFrame]:
 WITH {SCOPED}, x AS (SELECT 'conflicts' AS name, (SELECT count(*) FROM r) - (SELECT count(*) FROM ok) AS n UNION ALL SELECT 'records', count(*) FROM r
 UNION ALL SELECT 'provider_created', count(*) FILTER (WHERE NOT known) FROM p UNION ALL SELECT 'provider_existing', sum(n)::BIGINT - count(*) FILTER (WHERE NOT known) FROM p
 UNION ALL SELECT 'course_created', count(*) FROM c UNION ALL SELECT 'course_existing', sum(n)::BIGINT - count(*) FROM c
-UNION ALL SELECT 'lifecycle_' || lifecycle, count(*) FROM ok GROUP BY 1) SELECT * FROM x""")
+UNION ALL SELECT 'lifecycle_' || v, (SELECT count(*) FROM ok WHERE lifecycle = v) FROM (VALUES ('active'), ('suspended'), ('inactive'), ('unknown')) l(v)) SELECT name, coalesce(n, 0)::BIGINT AS n FROM x""")
 def scoped_counts(t) -> DataFrame:
     """What a scoped batch of courses would do, record by record."""
     records, known = scoped_batch(t)
