@@ -126,9 +126,12 @@ def build(docs: DataFrame, key: str, fields: dict[str, str], path: str, keep: li
 
     Keys are unique and not null. A bucket of a frequent term is split over tasks and files.
     """
-    rows = postings(docs.where(F.col(key).isNotNull()), key, list(fields)).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    known, cores = docs.where(F.col(key).isNotNull()), docs.sparkSession.sparkContext.defaultParallelism
+    # A small table may be one row group, which one task would index; it is dealt out first.
+    dealt = known.repartition(cores) if known.rdd.getNumPartitions() < cores else known
+    rows = postings(dealt, key, list(fields)).withColumn("bucket", bucket_of(F.col("term"), buckets))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "key").write.partitionBy("bucket").parquet(f"{path}/postings")
-    docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *keep).write.parquet(f"{path}/documents")
+    known.select(F.col(key).alias("key"), *keep).write.parquet(f"{path}/documents")
     spark = docs.sparkSession
     return Index(spark.read.schema(rows.schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"), key, list(fields.values()), buckets)
 
