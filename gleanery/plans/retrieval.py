@@ -17,9 +17,12 @@ ASKED, LANGUAGES = "thing onanea", ["en", "fr"]
 FOUND = searching.search(ASKED, FIELDS, where="lang IN ('en', 'fr')")
 WORDS = f"{FOUND}, w AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT * FROM found ORDER BY score DESC, doc_id LIMIT 400))"
 COSINE = "list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))))"
-VECTORS = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings),
-fresh AS (SELECT e.* FROM e JOIN (SELECT doc_id, sha256(text) AS h, CASE WHEN lang = 'de' AND n_chars > 2000 THEN sha256(concat(sha256(text), ' edited')) ELSE sha256(text) END AS made_of FROM documents WHERE lang IN ('en', 'fr', 'de')) d ON doc_id = vec_id AND h = made_of),
+#: The embeddings, those of current content, and the nearest; MADE_OF is filled in by the queries.
+NEAREST = f"""e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings),
+MADE_OF,
 v AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM (SELECT vec_id, round({COSINE}, 9) AS score FROM fresh WHERE sqrt(list_sum(list_transform(v, lambda x: x * x))) > 0 ORDER BY score DESC, vec_id LIMIT 400))"""
+VECTORS = NEAREST.replace("MADE_OF", "fresh AS (SELECT e.* FROM e JOIN (SELECT doc_id, sha256(text) AS h, CASE WHEN lang = 'de' AND n_chars > 2000 THEN sha256(concat(sha256(text), ' edited')) ELSE sha256(text) END AS made_of FROM documents WHERE lang IN ('en', 'fr', 'de')) d ON doc_id = vec_id AND h = made_of)")
+EVERY_VECTOR = NEAREST.replace("MADE_OF", "fresh AS (SELECT e.* FROM e JOIN (SELECT doc_id, sha256(text) AS h FROM documents) d ON doc_id = vec_id JOIN (SELECT doc_id AS id, sha256(CASE WHEN lang = 'de' AND n_chars > 2000 THEN concat(text, ' ') ELSE text END) AS made_of FROM documents) m ON id = vec_id AND made_of = h)")
 
 
 def search_index(t) -> fulltext.Index:
@@ -33,6 +36,13 @@ def words(t) -> DataFrame:
     return retrieval.ranked(found, "score", "doc_id", retrieval.candidates(20))
 
 
+def nearest(t, made_of: DataFrame, current: DataFrame) -> DataFrame:
+    """The embeddings nearest to the first, of those made from current content."""
+    usable = retrieval.fresh(t("embeddings").join(made_of, "vec_id"), current, "vec_id")
+    first = t("embeddings").where("vec_id = 0").select("embedding").first()  # the query's vector, one row
+    return retrieval.vector(usable, first and first["embedding"], "vec_id", retrieval.candidates(20))
+
+
 def vectors(t) -> DataFrame:
     """The nearest embeddings of current content in three languages; long German documents were edited since.
 
@@ -41,9 +51,7 @@ def vectors(t) -> DataFrame:
     known = filters.where(search_index(t).documents, language=["en", "fr", "de"]).withColumnRenamed("key", "vec_id")
     edited = (F.col("language") == "de") & (F.col("size") > 2000)
     made_of = known.select("vec_id", F.when(edited, F.sha2(F.concat("content_hash", F.lit(" edited")), 256)).otherwise(F.col("content_hash")).alias("content_hash"))
-    usable = retrieval.fresh(t("embeddings").join(made_of, "vec_id"), known, "vec_id")
-    first = t("embeddings").where("vec_id = 0").select("embedding").first()  # the query's vector, one row
-    return retrieval.vector(usable, first and first["embedding"], "vec_id", retrieval.candidates(20))
+    return nearest(t, made_of, known)
 
 
 @query(f"WITH {WORDS} SELECT doc_id, score, place, round(1.0 / (60 + place), 9)::DOUBLE AS fused_score FROM w WHERE place <= 20")
@@ -52,9 +60,17 @@ def keyword_search(t) -> DataFrame:
     return words(t).where("place <= 20").select("doc_id", "score", "place", F.round(1.0 / (60 + F.col("place")), 9).alias("fused_score"))
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, score, place FROM v WHERE place <= 20")
+@query(f"WITH {EVERY_VECTOR} SELECT vec_id, score, place FROM v WHERE place <= 20")
 def vector_topk(t) -> DataFrame:
-    return vectors(t).where("place <= 20")
+    """The nearest embeddings of current content in all languages; long German documents were edited since.
+
+    It hashes the texts itself: an index of their words would cost more than it gives here.
+    """
+    d = t("documents").select(F.col("doc_id").alias("vec_id"), "text", "lang", "n_chars")
+    edited = (F.col("lang") == "de") & (F.col("n_chars") > 2000)
+    current = d.select("vec_id", F.sha2("text", 256).alias("content_hash"))
+    made_of = d.select("vec_id", F.sha2(F.when(edited, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("content_hash"))
+    return nearest(t, made_of, current).where("place <= 20")
 
 
 @query("SELECT label::BIGINT AS label, count(*) AS embeddings, count(*) FILTER (WHERE md5(concat('doc', vec_id)) = md5(concat('doc', CASE WHEN vec_id % 9 = 0 THEN vec_id + 1 ELSE vec_id END))) AS fresh FROM embeddings GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery import plans
 from gleanery.operators import facts
+from gleanery.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +42,12 @@ def test_facts_equal_sql_where_ids_repeat(spark, twice, name):
     df = plans.queries()[name](spark, path)
     expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, expected))
+
+
+def test_nearest_vectors_are_of_all_languages(spark):
+    docs = [(i, f"text {i}", lang, size) for i, (lang, size) in enumerate([("en", 10), ("es", 10), ("de", 3000), ("pt", 10), (None, 10)])]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long"),
+        "embeddings": spark.createDataFrame([(i, [1.0, i / 10], 0) for i in range(6)], "vec_id long, embedding array<float>, label int"),
+    }
+    assert [r["vec_id"] for r in retrieval.vector_topk(tables.__getitem__).orderBy("place").collect()] == [0, 1, 3, 4]
