@@ -120,7 +120,7 @@ UNION ALL SELECT 'lifecycle_' || v, (SELECT count(*) FROM ok WHERE lifecycle = v
 def scoped_counts(t) -> DataFrame:
     """What a scoped batch of courses would do, record by record."""
     records, known = scoped_batch(t)
-    return scoped.counted(scoped.reconciled(records, "CA", "ircc_dli", "local", known))
+    return scoped.tallied(records, "CA", "ircc_dli", "local", known)
 
 
 @query(f"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery import plans
-from gleanery.operators import facts
+from gleanery.operators import facts, scoped
 from gleanery.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,18 @@ def test_nearest_vectors_are_of_all_languages(spark):
         "embeddings": spark.createDataFrame([(i, [1.0, i / 10], 0) for i in range(6)], "vec_id long, embedding array<float>, label int"),
     }
     assert [r["vec_id"] for r in retrieval.vector_topk(tables.__getitem__).orderBy("place").collect()] == [0, 1, 3, 4]
+
+
+def test_tallies_equal_the_counts_of_reconciled_records(spark):
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    rows = [(i // 2, pick("a b", "A-B", " a b ", "c", "d", None, " "), pick("n", "n", None), pick("x 1", "x-1", "X 1", "y", None), "t", pick(None, "Active", "unknown", "closed"), None, None) for i in range(300)]
+    records = spark.createDataFrame(rows, "ord long, provider_code string, provider_name string, course_code string, title string, lifecycle string, reg_scheme string, reg_code string")
+    providers = spark.createDataFrame([("A-B", 1), ("c", 2), ("c", 3)], "code string, id long")
+    courses = spark.createDataFrame([("C", "y", 5), ("A B", "x 1", 6)], "provider_code string, course_code string, id long")
+    for known in (None, courses):
+        given = ("CA", "ircc_dli", "local", providers, known)
+        for some in (records, records.limit(0), records.where("lifecycle = 'closed'")):
+            assert sorted(scoped.tallied(some, *given).collect()) == sorted(scoped.counted(scoped.reconciled(some, *given)).collect())
+    plan = plans.queries()["scoped_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # lines and suppliers, each read once
