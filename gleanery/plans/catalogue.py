@@ -389,10 +389,14 @@ WITH m AS (SELECT o_orderkey AS course, min(o_custkey) AS provider FROM orders G
 SELECT DISTINCT l.course, coalesce(l.provider, m.provider) AS provider, location FROM l LEFT JOIN m USING (course) WHERE coalesce(l.provider, m.provider) IS NOT NULL""")
 def course_locations(t) -> DataFrame:
     """Locations of courses, one row for each key; a missing provider comes from the course."""
-    owners = t("orders").groupBy(F.col("o_orderkey").alias("course")).agg(F.min("o_custkey").alias("owner"))
-    places = t("lineitem").select(F.col("l_orderkey").alias("course"), F.when(F.col("l_linestatus") == "O", F.col("l_suppkey")).alias("own"), F.concat(F.lit("Campus "), text("l_linenumber")).alias("location"))
-    rows = places.join(owners, "course", "left").select("course", F.coalesce("own", "owner").alias("provider"), "location")
-    return rows.where("provider is not null").dropDuplicates(["course", "provider", "location"])
+    lines = t("lineitem")
+    parts = 16 * lines.rdd.getNumPartitions()  # grows with the table, so that a task's share doesn't
+    owners = t("orders").select(F.col("o_orderkey").alias("course"), "o_custkey").repartition(parts, "course").groupBy("course").agg(F.min("o_custkey").alias("owner"))
+    places = lines.select(F.col("l_orderkey").alias("course"), F.when(F.col("l_linestatus") == "O", F.col("l_suppkey")).alias("own"), "l_linenumber").repartition(parts, "course")
+    rows = places.join(owners, "course", "left").select("course", F.coalesce("own", "owner").alias("provider"), "l_linenumber")
+    # Numbers are compared instead of the names that are made from them.
+    rows = rows.where("provider is not null").dropDuplicates(["course", "provider", "l_linenumber"])
+    return rows.select("course", "provider", F.concat(F.lit("Campus "), text("l_linenumber")).alias("location"))
 
 
 SEEDS = (("ASIA", "East"), ("NEWLAND", "Far"), ("EUROPE", "Old"))

@@ -66,3 +66,9 @@ def test_tallies_equal_the_counts_of_reconciled_records(spark):
             assert sorted(scoped.tallied(some, *given).collect()) == sorted(scoped.counted(scoped.reconciled(some, *given)).collect())
     plan = plans.queries()["scoped_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2  # lines and suppliers, each read once
+
+
+def test_locations_are_compared_by_number_in_shares_that_do_not_grow(spark):
+    plan = plans.queries()["course_locations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[course" in plan and "Campus" not in plan[plan.index("HashAggregate") :].split("HashAggregate", 2)[2]
+    assert "REPARTITION_BY_NUM" in plan
