@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery import plans
-from gleanery.operators import facts, scoped
+from gleanery.operators import facts, fulltext, scoped
 from gleanery.plans import retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,12 @@ def test_locations_are_compared_by_number_in_shares_that_do_not_grow(spark):
     plan = plans.queries()["course_locations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "keys=[course" in plan and "Campus" not in plan[plan.index("HashAggregate") :].split("HashAggregate", 2)[2]
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_postings_are_kept_in_chunks(spark):
+    docs = spark.createDataFrame([(i, "alpha beta the alpha", "beta") for i in range(500)], "id long, a string, b string").coalesce(1)
+    rows = fulltext.postings(docs, "id", ["a", "b"])
+    got = {r["term"]: r for r in rows.collect()}
+    assert len(got) == rows.count() == 2 and list(got["beta"]["keys"]) == list(range(500))
+    assert got["beta"]["at"][:4] == [2, 6, 2, 6] and list(got["beta"]["field"][:4]) == [0, 1, 0, 1] and set(got["alpha"]["sizes"]) == {2}
+    assert sorted((r["term"], r["key"], tuple(r["at"])) for r in fulltext.unpacked(rows).where("key = 7").collect()) == [("alpha", 7, (1, 4)), ("beta", 7, (2, 6))]
