@@ -365,6 +365,33 @@ def test_anchors_do_not_depend_on_pieces(chunk, monkeypatch):
         assert (a[whole[4]] == b[whole[4]]).all()
 
 
+def test_common_periodic_stretch_does_not_crowd_one_key(spark, monkeypatch):
+    rng = random.Random(7)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    lines = ["z" * 1500, "ab" * 900, (noise(37) + "\n") * 40, noise(30) * 20]
+    texts = [noise(rng.randrange(200, 500)) + line * rng.randrange(1, 3) + noise(300) for line in lines for _ in range(8)]
+    texts += ["z" * 400, "z" * 401, noise(50) + "z" * 700, "z" * 5000 + noise(450), "y" * 400 + noise(90)]
+    tables, write = {}, suffix_dedup.stored
+
+    def kept(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_dedup, "stored", kept)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 900)
+    got = {r["doc_id"]: r for r in suffix_dedup.deduplicated(docs_of(spark, list(enumerate(texts)))).collect()}
+    for i, want in enumerate(brute_removed(texts)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want
+    # A stretch gives a row for each piece of a text that it reaches, not one for each of its bytes.
+    most = tables["shared"].where("around is not null").groupBy("around", "check").count().agg(F.max("count")).first()[0]
+    assert most <= 6 * len(texts)
+    # Representatives are written before they are joined by gram: no more than one for each surrounding.
+    assert tables["ones"].count() == tables["shared"].where("around is not null").join(tables["ones"], ["key", "at"], "left_semi").select("around", "check").distinct().count()
+
+
 def test_equal_identifiers_of_different_bytes_remove_nothing(spark, monkeypatch):
     import numpy as np
 
