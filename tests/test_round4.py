@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery import plans
-from gleanery.operators import facts
+from gleanery.operators import facts, gates
 from gleanery.plans import depth
 from gleanery.session import table
 
@@ -50,3 +50,25 @@ def test_images_of_maps_in_another_order_and_of_secrets(spark):
         4: ("updated", ["y", "z"], {}, {"z": "1", "y": "2"}),
         5: ("unchanged", [], {}, {}),
     }
+
+
+def test_rows_that_need_nothing_pass_the_gate(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", None), ("b", "y")], "kind string, code string")
+    known = spark.createDataFrame([("x",)], "code string")
+    assert gates.found(rows, known, ["code"], "code", F.col("kind") == "a").count() == 3
+    for needed in (None, F.col("kind") == "b", F.lit(None).cast("boolean")):
+        with pytest.raises(Exception, match="no code for"):
+            gates.found(rows, known, ["code"], "code", needed).collect()
+
+
+def test_facts_applied_where_a_course_has_many_records(spark, tmp_path):
+    """All lines of one course and other prices: the greatest record of each key stays, as in the SQL."""
+    con = duckdb.connect()
+    for t in ("region", "supplier"):
+        con.execute(f"COPY (FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    con.execute(f"COPY (SELECT * REPLACE (1::BIGINT AS l_suppkey, 7::BIGINT AS l_partkey) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    for t in ("region", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    df = plans.queries()["fact_apply"](spark, str(tmp_path))
+    expected = con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.oracle_sql()['fact_apply']})").fetchall()
+    assert expected and sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, expected))
